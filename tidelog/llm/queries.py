@@ -5,7 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import remainder, table
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(remainder("doc_id", 3) != 1))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "language.lang_pred", "language.score")
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode
+
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), digests_only=True)
+    return out.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +40,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op9_sharding": op9_sharding}
+QUERIES = {f.__name__: f for f in (op1_langid, op3_bpe, op9_sharding)}
 ORACLES: dict[str, str] = {}
