@@ -23,6 +23,15 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    found = out.select("doc_id", F.posexplode_outer("findings").alias("finding", "f")).where("f is not null")  # the plain form would scan twice
+    value = F.col("f.value")
+    return found.select("doc_id", "finding", F.col("f.start").alias("start"), F.length(value).alias("length"), F.sha2(value.cast("binary"), 256).alias("value_sha256"), F.col("f.score").alias("score"), F.col("f.is_secret").alias("is_secret"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -30,6 +39,22 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0).select("doc_id", "toxic")
+    out = score(docs, fit(labels.join(docs, "doc_id")))
+    value = F.col("toxicity")
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), value.alias("score"), F.when(value >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -40,5 +65,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op3_bpe, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_secrets, op3_bpe, op7_toxicity, op9_sharding, op10_decontamination)}
 ORACLES: dict[str, str] = {}
