@@ -39,6 +39,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentences import dedup
+
+    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce(F.col("kept_text"), F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_sentences", "n_removed", "removed", digest.alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
@@ -65,5 +79,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_secrets, op3_bpe, op7_toxicity, op9_sharding, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_secrets, op3_bpe, op5_topk, op6_sentences, op7_toxicity, op9_sharding, op10_decontamination)}
+ORACLES: dict[str, str] = {
+    "op5_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score
+              from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+        r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+        select query_id, rank, vec_id, score from r where rank <= 5""",
+}
