@@ -39,6 +39,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import join
+
+    out = join(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import search
 
@@ -79,8 +86,23 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_secrets, op3_bpe, op5_topk, op6_sentences, op7_toxicity, op9_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_secrets, op3_bpe, op4_jaccard, op5_topk, op6_sentences, op7_toxicity, op9_sharding, op10_decontamination)}
 ORACLES: dict[str, str] = {
+    "op4_jaccard": """
+        with recursive words as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
+            from documents),
+        sets as (
+            select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [list_aggregate(w, 'string_agg', ' ')]
+                else list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3]) end) as s
+            from words),
+        tokens as (select doc_id, len(s) as n, unnest(s) as t from sets),
+        links as (
+            select a.doc_id as u, b.doc_id as v from tokens a join tokens b on a.t = b.t and a.doc_id <> b.doc_id and a.n * 100 >= b.n * 85 and b.n * 100 >= a.n * 85
+            group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach(u, v) as (select u, v from links union select r.u, l.v from reach r join links l on r.v = l.u)
+        select s.doc_id, len(s.s) as n_shingles, least(s.doc_id, coalesce(min(r.v), s.doc_id)) as component_id
+        from sets s left join reach r on r.u = s.doc_id group by s.doc_id, s.s""",
     "op5_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
                    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
