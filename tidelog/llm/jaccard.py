@@ -23,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
+from .common import filter_words, in_filter, materialize, mix, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
 
 #: Tokens that come in so many documents of a chunk of text are counted; the commonest HEAVY of them stand last in order A (the
 #: table that is broadcast, 1.6 MB at most). Which tokens these are decides about speed alone.
 COMMON_IN_CHUNK, HEAVY, CHUNK = 3, 100_000, 4 << 20
-FILTER_BITS = 23
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -144,19 +143,9 @@ def _postings(docs: DataFrame, width: int, limit: Threshold, heavy: tuple[np.nda
     return docs.mapInArrow(run, "token long, s1 long, n int")
 
 
-def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids in 2**FILTER_BITS bits (1 MB, whatever the input). It only saves work: an exact join follows."""
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    words = ids.groupBy(F.shiftright(h, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << FILTER_BITS}) % 64 as int))")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.collect():
-        out[r["w"]] = r["bits"]
-    return out.view(np.uint64)
-
-
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int, limit: Threshold) -> DataFrame:
     """Rows (s1, n, tokens, b, c): the sets of the wanted documents (id, s1) and their prefixes under orders B and C."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(filter_words(wanted))
     schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))])
 
     def lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -165,8 +154,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int, limit: Threshold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            hit = (words[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) > 0
+            hit = in_filter(words, batch.column("h").to_numpy())
             for piece in text_chunks([batch.filter(pa.array(hit))], limit=CHUNK):
                 sets = Sets(piece.column("text"), width)
                 short = np.minimum(limit.prefix(sets.size), sets.size)
@@ -174,7 +162,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int, limit: Threshold
                 c = prefix_mask(sets, (mix(sets.token + np.uint64(0xBB67AE85)),), short)
                 yield pa.record_batch([piece.column("id"), pa.array(sets.size.astype(np.int32)), lists(sets.token, sets.size), lists(sets.token[b], short), lists(sets.token[c], short)], schema=schema)
 
-    hashed = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("h")).where("id is not null")
+    hashed = docs.select("id", "text", F.xxhash64("id").alias("h")).where("id is not null")
     rows = hashed.mapInArrow(run, "id long, n int, tokens array<long>, b array<long>, c array<long>")
     return rows.join(wanted, "id").dropDuplicates(["s1"]).select("s1", "n", "tokens", "b", "c")
 

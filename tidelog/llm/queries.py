@@ -76,6 +76,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import dedup
+
+    out = dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -86,7 +93,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_secrets, op3_bpe, op4_jaccard, op5_topk, op6_sentences, op7_toxicity, op9_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_secrets, op3_bpe, op4_jaccard, op5_topk, op6_sentences, op7_toxicity, op8_suffixes, op9_sharding, op10_decontamination)}
 ORACLES: dict[str, str] = {
     "op4_jaccard": """
         with recursive words as (
