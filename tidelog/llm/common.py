@@ -36,7 +36,7 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def text_chunks(batches, column: str = "text", limit: int = 4 << 20):
+def text_chunks(batches, column: str = "text", limit: int = 2 << 20):
     """Cut Arrow batches so that each piece holds about `limit` bytes of text (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:

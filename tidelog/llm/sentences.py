@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
+from .common import materialize, mix, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
+from .sketch import bucket_bits, passes, repeated_filter
 
 SENTENCES, SPAN_WORDS, LONG_SENTENCE, CUT = 2, 20, 12, 8
 _SPACE = np.zeros(256, bool)
@@ -90,21 +91,31 @@ class Split:
         return out[0], out[1]
 
 
+def _fingerprints(piece: pa.RecordBatch, seen: set) -> np.ndarray:
+    split = Split(piece.column("text"))
+    return split.span_hash(*split.spans())[0].view(np.uint64)
+
+
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (h1, h2, id, first, last): every span, with its sentences' numbers in the document."""
+    """Rows (h1, h2, id, first, last): the spans that may come more than once, with their sentences' numbers in the document."""
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = repeated_filter(rows.select("text"), _fingerprints, parts, 1 << 62)[0]
+    bits, shared = bucket_bits(parts), docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_chunks(batches):
             split = Split(piece.column("text"))
             a, b = split.spans()
+            h1, h2 = split.span_hash(a, b)
+            hit = passes(shared.value, h1.view(np.uint64), bits)
+            a, b, h1, h2 = a[hit], b[hit], h1[hit], h2[hit]
             if len(a):
-                h1, h2 = split.span_hash(a, b)
                 base = np.searchsorted(split.of, split.of[a])
                 ids = piece.column("id").to_numpy(zero_copy_only=False)[split.of[a]]
                 yield pa.record_batch([pa.array(h1), pa.array(h2), pa.array(ids.astype(np.int64)), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], schema=schema)
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "h1 long, h2 long, id long, first int, last int")
 
 
@@ -117,6 +128,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     all_spans = spans(docs, key, text)
     place = F.struct("id", "first")
     known = all_spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where("n > 1").drop("n")
+    known = materialize(known, "known")  # read from a table, it leaves Spark free to split a hot span's rows
     found = all_spans.join(known, ["h1", "h2"]).where((F.col("id") != F.col("origin.id")) | (F.col("first") != F.col("origin.first")))
     return found.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("covered"))
 
@@ -127,7 +139,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     The text between a removed sentence and the next goes with it. Rows with a null id keep their text whole. All other columns pass through.
     """
     # copies of one id: the id's list of spans holds for each of them
-    joined = docs.join(repeated(docs, key, text).withColumnRenamed("id", "__id"), F.col(key).cast("long") == F.col("__id"), "left").drop("__id")
+    joined = docs.join(repeated(docs, key, text).withColumnsRenamed({"id": "__id", "covered": "__covered"}), F.col(key).cast("long") == F.col("__id"), "left").drop("__id")
     names = docs.columns
 
     @F.pandas_udf("kept_text string, n_sentences int, n_removed int, removed array<struct<start:int,end:int>>")
@@ -139,7 +151,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 rows += _cut(piece.column("text"), covered.iloc[len(rows) : len(rows) + piece.num_rows])
             yield pd.DataFrame(rows, columns=["kept_text", "n_sentences", "n_removed", "removed"])
 
-    spans_of = F.transform("covered", lambda x: F.array(x["first"], x["last"]))
+    spans_of = F.transform("__covered", lambda x: F.array(x["first"], x["last"]))
     return joined.withColumn("__cut", cut(F.col(text), spans_of)).select(*[F.col(f"`{n}`") for n in names], "__cut.*")
 
 

@@ -4,7 +4,7 @@ Sorting every suffix would move many times the input. Only suffixes that can hav
 
 1. Every LENGTH-byte string has one anchor, the least-hashed K bytes in it; equal strings have equal anchors in the same
    place. Anchors' fingerprints (5 bytes) are exchanged and those that come once fall out through a Bloom filter of
-   FILTER_BITS bits, whatever the input's size; the filter only saves work.
+   fixed size; the filter only saves work.
 2. An anchor that is left goes, with the text around it that its strings cover, to the task of its fingerprint.
 3. There the texts are put in order by deep-shallow sorting: multikey sorting on the first SHALLOW bytes, then a
    blind trie for each group that is still tied. Equal texts meet in one leaf, whose smallest id keeps them. Where
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filter_words, in_filter, materialize, mix, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
+from .sketch import bucket_bits, passes, repeated_filter, shortened
 
 LENGTH, K, SHALLOW = 50, 20, 16
-FILTER_BITS, LOW_BITS = 26, 40
-HOT, HOT_MOST = 5_000, 65_536
+HOT = 5_000
 ROWS_AT_ONCE = 100_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -174,60 +174,9 @@ def deep_shallow(group: np.ndarray, data: np.ndarray, start: np.ndarray, length:
 # --- passes over the documents --------------------------------------------------------------------------------------
 
 
-def _repeated_filter(docs: DataFrame, parts: int, hot_from: int) -> tuple[np.ndarray, np.ndarray]:
-    """The Bloom filter of fingerprints that come more than once, and the hot fingerprints (at most about HOT_MOST)."""
-    bits = max(1, min(12, (parts - 1).bit_length()))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        held: list[np.ndarray] = []
-
-        def packed() -> pa.RecordBatch:
-            fp = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            held.clear()
-            edges = np.searchsorted(fp >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
-            rows = [(b, edges[b], edges[b + 1]) for b in range(1 << bits) if edges[b] < edges[b + 1]]
-            five = fp.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            return pa.record_batch([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([np.ascontiguousarray(five[x:y]).tobytes() for _, x, y in rows], pa.binary())], names=["bucket", "blob"])
-
-        for piece in text_chunks(batches):
-            data, offsets = text_bytes(_unseen(piece, seen).column("text"))
-            held.append(code(anchors(data, offsets)[0], bits))
-            if sum(map(len, held)) > 4_000_000:
-                yield packed()
-        yield packed()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-                blobs.setdefault(b, []).append(blob)
-        for b, parts_ in blobs.items():
-            raw = np.frombuffer(b"".join(parts_), np.uint8).reshape(-1, 5)
-            whole = np.zeros((len(raw), 8), np.uint8)
-            whole[:, :5] = raw
-            low, count = np.unique(whole.view("<u8").ravel().astype(np.uint64), return_counts=True)
-            twice = low[count > 1]
-            span = 1 << (FILTER_BITS - bits)
-            words = np.zeros(max(1, span // 64), np.uint64)
-            at = (twice >> np.uint64(LOW_BITS - (FILTER_BITS - bits))).astype(np.int64)
-            np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-            often = np.argsort(-count, kind="stable")[: HOT_MOST >> bits]
-            hot = low[often][count[often] >= hot_from] | (np.uint64(b) << np.uint64(LOW_BITS))
-            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([words.tobytes()], pa.binary()), pa.array([hot.tobytes()], pa.binary())], names=["bucket", "words", "hot"])
-
-    sent = docs.select("text").mapInArrow(send, "bucket int, blob binary").repartition(max(parts, 2), "bucket")
-    found = sent.mapInArrow(meet, "bucket int, words binary, hot binary").collect()  # 2**FILTER_BITS bits and HOT_MOST numbers at most
-    words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    span = (1 << (FILTER_BITS - bits)) // 64
-    for r in found:
-        words[r["bucket"] * span : (r["bucket"] + 1) * span] = np.frombuffer(r["words"], np.uint64)
-    return words, np.sort(np.concatenate([np.frombuffer(r["hot"], np.uint64) for r in found] or [np.zeros(0, np.uint64)]))
-
-
-def code(fp: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket in the top bits and LOW_BITS below: what the exchange of step 1 keeps of a fingerprint."""
-    return (fp >> np.uint64(64 - bits) << np.uint64(64 - bits)) | (fp & np.uint64((1 << LOW_BITS) - 1))
+def _fingerprints(piece: pa.RecordBatch, seen: set[bytes]) -> np.ndarray:
+    data, offsets = text_bytes(_unseen(piece, seen).column("text"))
+    return anchors(data, offsets)[0]
 
 
 ROWS = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("doc", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("bytes", pa.binary())])
@@ -236,7 +185,7 @@ CONTEXT, WINDOW, DONE = 0, 1, 2
 
 
 def _candidates(docs: DataFrame, words: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
-    bits = max(1, min(12, (parts - 1).bit_length()))
+    bits = bucket_bits(parts)
     shared = docs.sparkSession.sparkContext.broadcast((words, hot))
 
     def rows(key, kind, doc, t, start, stop, data=None, at=None) -> pa.RecordBatch:
@@ -265,15 +214,13 @@ def _candidates(docs: DataFrame, words: np.ndarray, hot: np.ndarray, parts: int)
             piece = _unseen(piece, seen)
             data, offsets = text_bytes(piece.column("text"))
             fp, row, first, last = anchors(data, offsets)
-            c = code(fp, bits)
-            spot = ((c >> np.uint64(64 - bits) << np.uint64(FILTER_BITS - bits)) | ((c & np.uint64((1 << LOW_BITS) - 1)) >> np.uint64(LOW_BITS - (FILTER_BITS - bits)))).astype(np.int64)
-            hit = (known[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0
-            fp, row, first, last, c = fp[hit], row[hit], first[hit], last[hit], c[hit]
+            hit = passes(known, fp, bits)
+            fp, row, first, last = fp[hit], row[hit], first[hit], last[hit]
             if not len(fp):
                 continue
             ids, ts = piece.column("id").to_numpy(), piece.column("t").to_numpy()
             sums = prefix_hashes(data)
-            named = (c >> np.uint64(64 - bits) << np.uint64(LOW_BITS)) | (c & np.uint64((1 << LOW_BITS) - 1))
+            named = shortened(fp, bits)
             is_hot = np.isin(named, hot) if len(hot) else np.zeros(len(fp), bool)
             for kind in (CONTEXT, WINDOW):
                 pick = is_hot if kind == WINDOW else ~is_hot
@@ -377,7 +324,7 @@ def _joined(doc, t, start, stop):
 def repeated(docs: DataFrame, hot_from: int = HOT) -> DataFrame:
     """Rows (doc, t, ranges) for docs (id, t, text), t a hash of the text; copies of whole texts inside one task are left to dedup()."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words, hot = _repeated_filter(docs.where("id is not null"), parts, hot_from)
+    words, hot = repeated_filter(docs.where("id is not null").select("text"), _fingerprints, parts, hot_from)
     sent = _candidates(docs, words, hot, parts).repartition(parts, "key").sortWithinPartitions("key")
     found = sent.mapInArrow(_resolve, "doc long, t long, start int, stop int")
     return found.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
