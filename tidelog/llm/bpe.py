@@ -6,7 +6,9 @@ u and v into w,
 
 1. copies state v's arcs to the new state w,
 2. takes the arc v away from state u (after u, v can no longer stand alone),
-3. gives an arc w to every state that has an arc u.
+3. gives an arc w to every state that has an arc u;
+
+or does nothing, if state u has no arc v: then the merge can never happen.
 
 Each state then has at most one arc for a label, and the one path that spells a word is its encoding. The arcs are kept
 factored: a gadget stores its number, its two parts and the arc that it took away, and `arc` unrolls copies (1) and (3)
@@ -55,10 +57,13 @@ class MergeAutomaton:
             self.labels[i] = label
         self.born, self.left, self.right = [0] * self.size, [-1] * self.size, [-1] * self.size
         self.taken: dict[int, int] = {}
+        self.unused: set[int] = set()
         for k, (a, b) in enumerate(merges, 1):
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
         self.spell: dict = {}  # tree of the labels' letters; a label stands under 0, or under 1 if it ends a word
         for label, i in vocab.items():
+            if i in self.unused:
+                continue
             ends = label.endswith(END) and len(label) > len(END)
             node = self.spell
             for letter in label[: -len(END)] if ends else label:
@@ -68,31 +73,34 @@ class MergeAutomaton:
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
         self.born[w], self.left[w], self.right[w] = k, u, v
-        self.taken[u * self.size + v] = k
+        if u in self.unused or v in self.unused or not self._stands(u, v, 2 * k):
+            self.unused.add(w)  # no path of the automaton so far has u before v, so that none gets w
+        else:
+            self.taken[u * self.size + v] = k
 
-    def arc(self, state: int, label: int) -> bool:
-        """Whether the finished automaton has an arc with this label in this state."""
-        key = state * self.size + label
-        known = self.table.get(key)
-        if known is not None:
-            return known
-        t, w, before, found = state, label, 2 * len(self.taken) + 2, True
+    def _stands(self, t: int, w: int, before: int) -> bool:
+        """Whether state t has an arc w after the gadgets up to a time: 2k - 1 and 2k stand before and after step 2 of gadget k."""
         while True:
             k = self.taken.get(t * self.size + w)
             if k is not None and 2 * k < before:
-                found = False
-                break
+                return False
             made_t, made_w = self.born[t], self.born[w]
             if not made_t and not made_w:
-                break
+                return True
             if made_w >= made_t:  # step 3 of gadget made_w, after its step 2
                 w, before = self.left[w], 2 * made_w + 1
             else:  # step 1 of gadget made_t, before its step 2
                 t, before = self.right[t], 2 * made_t
-        if len(self.table) >= ARCS_KEPT:
-            self.table.clear()
-        self.table[key] = found
-        return found
+
+    def arc(self, state: int, label: int) -> bool:
+        """Whether the finished automaton has an arc with this label in this state."""
+        key = state * self.size + label
+        known = self.table.get(key)
+        if known is None:
+            if len(self.table) >= ARCS_KEPT:
+                self.table.clear()
+            known = self.table[key] = self._stands(state, label, 2 * self.size)
+        return known
 
     def _labels(self, word: str, at: int) -> list[tuple[int, int]]:
         """Labels that spell the word from here on, with their ends, longest last."""
