@@ -1,0 +1,416 @@
+"""The training-data operators against brute force on small fixtures, and on odd input."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.llm import bpe, decontamination, jaccard, langid, secrets, sentences, sharding, suffixes, topk, toxicity
+
+from ..conftest import DATA, needs_data
+
+LONG = "lorem ipsum dolor sit amet " * 4000
+ODD = [(1, None, None, None, None), (2, "", "en", "", 0), (3, LONG, "en", "s", len(LONG)), (3, LONG, "en", "s", len(LONG)), (None, "plain words here", None, "s", 16), (5, "   \n", "en", None, 4), (6, "日本語 テキスト 😀", "ja", "s", 9)]
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls everywhere, empty and long texts, repeated rows, and columns whose names an operator may use itself."""
+    extra = [F.lit(1).alias(n) for n in ("id", "t", "h", "key", "n", "token", "score", "covered", "ranges", "label")]
+    return spark.createDataFrame(ODD, KIND).select("*", *extra)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], KIND)
+
+
+def words(rng, n, letters="abcde"):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(n))
+
+
+# --- 1 language ID
+
+
+def test_langid(spark, odd, empty):
+    rng = random.Random(1)
+    sets = {"en": "the and of house tree water running".split(), "de": "der und von haus baum wasser laufen".split(), "fr": "le et de maison arbre eau courir".split()}
+    rows = [(i, " ".join(rng.choice(sets[x]) for _ in range(30)), x) for i, x in enumerate(rng.choice(list(sets)) for _ in range(300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.where("doc_id % 3 <> 1"))
+    got = langid.identify(df.where("doc_id % 3 = 1"), model).select("lang", "language.*").collect()
+    assert all(r.lang == r.lang_pred and 0 <= r.score <= 1 for r in got)
+    assert model.predict("laufender")[0] == "de" and model.predict("houses trees")[0] == "en"  # by n-grams
+    assert model.predict(None) == model.predict("12 _ ²") == ("und", 0.0)
+    seen = langid.identify(odd, model)
+    assert seen.count() == len(ODD) and set(odd.columns) < set(seen.columns)
+    assert {r.doc_id: r.language.lang_pred for r in seen.collect()}[1] == "und"
+    assert langid.identify(empty, langid.fit(empty)).count() == 0
+    assert langid.fit(empty).predict("word") == ("und", 0.0)
+
+
+# --- 2 secrets
+
+
+def test_secrets(spark, odd, empty):
+    rows = [(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y and 4934199904425488 z', "a"), (2, "password=changeme123 nothing else", "a"), (3, "plain text", "a"), (4, "é password: Zx9kQ27LmPq4Vt88sWb1 tail", None)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    found = {d: [(rows[d - 1][1][f.start : f.start + len(f.value)] == f.value, f.is_secret) for f in r.findings] for d, r in got.items()}
+    assert found[1] == [(True, True), (True, False)] and found[2] == [(True, False)] and found[3] == [] and found[4] == [(True, True)]
+    assert got[1].redacted == 'x token = "[SECRET]" y and 4934199904425488 z' and got[2].redacted == rows[1][1] and got[4].redacted == "é password: [SECRET] tail"
+    held = secrets.labelled_findings(400, 77)
+    scored = secrets.scan(spark.createDataFrame(held, "text string, path string, label int"), path="path").collect()
+    right = [any(f.is_secret for f in r.findings) == bool(r.label) for r in scored]
+    assert np.mean(right) > 0.95
+    out = secrets.scan(odd).collect()
+    assert len(out) == len(ODD) and all((r.findings is None) == (r.text is None) and r.redacted == r.text for r in out)
+    assert secrets.scan(empty).count() == 0
+    long_run = spark.createDataFrame([(1, "a" * 300_000 + " " + "b1" * 50_000, "s")], "doc_id long, text string, source string")
+    assert secrets.scan(long_run).count() == 1
+
+
+# --- 3 BPE
+
+
+def tokenizer():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    return path, Tokenizer.from_file(path)
+
+
+def test_bpe_automaton_against_merging():
+    """Random merge lists, against applying the merges one after the other."""
+    rng = random.Random(2)
+    for _ in range(40):
+        base = [*"abc", *[x + "</w>" for x in "abc"]]
+        vocab, merges = {x: i for i, x in enumerate(base)}, []
+        for _ in range(25):
+            a, b = rng.choice([x for x in vocab if not x.endswith("</w>")]), rng.choice(list(vocab))
+            if a + b not in vocab:
+                vocab[a + b] = len(vocab)
+                merges.append((a, b))
+        automaton = bpe.MergeAutomaton(vocab, merges)
+        for _ in range(60):
+            word = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 14)))
+            parts = [*word[:-1], word[-1] + "</w>"]
+            for a, b in merges:
+                i = 0
+                while i < len(parts) - 1:
+                    if parts[i] == a and parts[i + 1] == b:
+                        parts[i : i + 2] = [a + b]
+                    i += 1
+            assert [automaton.labels[i] for i in automaton.encode(word)] == parts, (merges, word)
+
+
+def test_bpe_against_library(spark, odd, empty):
+    path, library = tokenizer()
+    model = bpe.load(path)
+    rng = random.Random(3)
+    pool = [chr(c) for r in ((9, 14), (28, 127), (160, 600), (0x370, 0x500), (0x600, 0x6FF), (0x4E00, 0x4E30), (0x1F600, 0x1F620), (0x2000, 0x2070)) for c in range(*r)]
+    texts = ["", "don't THEY'RE <|endoftext|>x<|startoftext|>y <|ENDOFTEXT|>", "ΣΑΣ", "a" * 3000, "!" * 900, *["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(500)], *[words(rng, 20, "thein gaors'd0") for _ in range(300)]]
+    for t in texts:
+        want = library.encode(t, add_special_tokens=False).ids
+        ids, decoded = model.run(t)
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == library.decode(want, skip_special_tokens=False), t
+    got = bpe.encode(odd, path).collect()
+    assert len(got) == len(ODD) and next(r for r in got if r.text is None).bpe.n_tokens == 0
+    for r in got:
+        assert r.bpe.ids_sha256 == hashlib.sha256(r.bpe.ids).hexdigest() and r.bpe.decoded_sha256 == hashlib.sha256(r.bpe.decoded.encode()).hexdigest()
+    back = bpe.decode(bpe.encode(odd, path).select("bpe.ids", F.col("bpe.decoded").alias("want")), path).collect()
+    assert all(r.decoded == r.want for r in back)
+    assert bpe.encode(empty, path).count() == 0
+
+
+# --- 4 Jaccard join
+
+
+def grams(text, n):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("n,num", [(4, 85), (5, 80)])
+def test_jaccard(spark, n, num):
+    rng = random.Random(n)
+    pool = [f"w{i}" for i in range(300)]
+    bases = [[rng.choice(pool) for _ in range(rng.randrange(1, 70))] for _ in range(40)]
+    docs = {}
+    for i in range(300):
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            if w:
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], [f"X{rng.randrange(9)}"], [w[k], "y"]])
+        docs[i] = " ".join(w) if i % 40 else rng.choice([None, "", "  "])
+    sets, root = {i: grams(t, n) for i, t in docs.items()}, {i: i for i in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in docs:
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if same and 100 * same >= num * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = jaccard.join(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5), n, num, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), find(i)) for i in docs}
+
+
+def test_jaccard_odd(odd, empty):
+    got = jaccard.join(odd).collect()
+    assert len(got) == len(ODD)
+    by = {r.doc_id: r for r in got}
+    assert by[1].n_shingles == 0 and by[1].component_id == 1 and by[1].class_id is None and by[3].component_id == 3 and by[None].component_id is None
+    assert jaccard.join(empty).count() == 0
+
+
+# --- 5 top-k
+
+
+def brute_topk(rows, k=5):
+    whole = {i: np.floor(256 * np.array(v, dtype=float)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    out = []
+    for q in whole:
+        if q % 50 == 0:
+            scores = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("case", ["random", "equal", "few", "skewed"])
+def test_topk(spark, case):
+    rng = np.random.default_rng(6)
+    n = {"few": 3}.get(case, 3000)
+    v = np.zeros((n, 8)) + 0.25 if case == "equal" else rng.normal(size=(n, 8)) * (rng.random((n, 1)) ** 3 * 5 if case == "skewed" else 1)
+    rows = [(int(i), [float(y) for y in x]) for i, x in enumerate(v)]
+    if case == "random":
+        rows[7], rows[100], rows[150] = (7, None), (100, [None] * 8), (150, [float("nan")] + [1.0] * 7)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).repartition(3)
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == brute_topk(rows)
+
+
+def test_topk_empty(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.search(none, F.col("vec_id") % 50 == 0).count() == 0
+    one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
+    assert topk.search(one, F.col("vec_id") % 50 == 0).count() == 0
+
+
+# --- 6 sentence spans
+
+
+def test_sentences(spark, odd, empty):
+    rng = random.Random(7)
+    say = lambda: words(rng, rng.randrange(4, 12)).capitalize() + "."
+    passage = " ".join(say() for _ in range(9))
+    docs = {i: " ".join(say() for _ in range(8)) for i in range(30)}
+    clean = dict(docs)
+    for i in (3, 9, 20, 21):
+        docs[i] = docs[i] + " " + passage + " " + say()
+    docs[25] = docs[24]
+    got = {r.doc_id: r for r in sentences.dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)).collect()}
+    assert {d for d, r in got.items() if r.n_removed} == {9, 20, 21, 25}
+    assert got[3].kept_text == docs[3] and got[25].kept_text == ""
+    for d in (9, 20, 21):
+        assert passage not in got[d].kept_text and got[d].kept_text.startswith(clean[d]) and docs[d].endswith(got[d].kept_text[-5:])
+        (r,) = got[d].removed
+        assert docs[d][: r.start] + docs[d][r.end :] == got[d].kept_text
+    seen = sentences.dedup(odd).collect()
+    assert len(seen) == len(ODD) and set(odd.columns) < set(seen[0].asDict())
+    assert sentences.dedup(empty).count() == 0
+
+
+# --- 7 toxicity
+
+
+def test_toxicity(spark, odd, empty):
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        bad = i % 4 == 0
+        w = words(rng, 60, "abcdefghij").split()
+        if bad:
+            for _ in range(4):
+                w[rng.randrange(60)] = rng.choice(["idiot", "moron", "scum", "zzagrob"])
+        rows.append((i, " ".join(w), int(bad) if i % 37 else 1 - int(bad)))  # some labels are wrong
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.where("doc_id % 5 <> 0").select("doc_id", "toxic"), df.select("doc_id", "text"))
+    got = toxicity.score(df.where("doc_id % 5 = 0"), model).collect()
+    assert np.mean([(r.toxicity >= 0.5) == (r.doc_id % 4 == 0) for r in got]) > 0.97
+    seen = toxicity.score(odd, model).collect()
+    assert len(seen) == len(ODD) and all(0 <= r.toxicity < 0.5 for r in seen)
+    nothing = toxicity.fit(spark.createDataFrame([], "doc_id long, toxic int"), df)
+    assert all(0 <= r.toxicity < 0.5 for r in toxicity.score(odd, nothing).collect()) and toxicity.score(empty, model).count() == 0
+
+
+def test_label_model():
+    rng = np.random.default_rng(9)
+    y = rng.random(3000) < 0.3
+    right = (0.9, 0.85, 0.8, 0.75, 0.7)
+    votes = np.array([np.where(rng.random(3000) < p, y, ~y).astype(int) for p in right]).T
+    votes = np.c_[votes, votes[:, 4]]  # a voter that copies another
+    model = toxicity.LabelModel()
+    q = model.fit(votes, np.ones(3000), np.clip(votes.mean(axis=1), 0.1, 0.9))
+    assert ((q > 0.5) == y).mean() > 0.9
+    assert model.trust[4:].max() < 0.65 and model.trust[:4].min() > 0.75
+    assert abs(model.given[1][2][1] - 0.85) < 0.05  # the second voter's share of right votes on toxic rows
+
+
+# --- 8 suffixes
+
+
+def brute_suffixes(docs):
+    first, out = {}, {}
+    for d in sorted(docs):
+        t = (docs[d] or "").encode()
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    for d in docs:
+        t = (docs[d] or "").encode()
+        gone = bytearray(len(t))
+        for i in range(len(t) - 49):
+            if first[t[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        spans = sum(1 for i in range(len(t)) if gone[i] and (not i or not gone[i - 1]))
+        out[d] = (len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot_from", [5_000, 20])
+def test_suffixes(spark, hot_from):
+    rng = random.Random(10)
+    common, docs = words(rng, 30), {}
+    for i in range(300):
+        x = words(rng, rng.randrange(0, 60))
+        k = rng.randrange(0, len(x) + 1)
+        docs[i * 3] = x[:k] + common + x[k:] if i % 2 else (x if i % 5 else None)
+    docs |= {5000: "a" * 300, 5001: "a" * 60, 5002: "ab" * 200, 5003: "é" * 100, 5004: "é" * 40 + "x", 5005: "", 5006: docs[3], 5007: docs[3]}
+    got = suffixes.dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(7), hot_from=hot_from).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_suffixes(docs)
+
+
+def test_suffixes_odd(odd, empty):
+    got = suffixes.dedup(odd).collect()
+    assert len(got) == len(ODD) and all(r.n_removed == 0 for r in got) and suffixes.dedup(empty).count() == 0
+
+
+def test_deep_shallow():
+    rng = random.Random(11)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 40))) for _ in range(400)] + [b"a" * 30] * 5
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    length = np.array([len(x) for x in strings])
+    start = np.cumsum(length) - length
+    group = np.array([i % 3 for i in range(len(strings))])
+    order, new = suffixes.deep_shallow(group, data, start, length)
+    sorted_ = [(group[i], strings[i]) for i in order]
+    assert sorted_ == sorted(sorted_)
+    assert [bool(x) for x in new] == [k == 0 or sorted_[k] != sorted_[k - 1] for k in range(len(sorted_))]
+
+
+# --- 9 sharding
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 39, 1000])
+def test_sharding(spark, n):
+    df = spark.range(n).select((F.col("id") * 7 % 1009).alias("doc_id"), F.lit("x").alias("position"))
+    got = sharding.shard(df.drop("position"), 40, ["doc_id"]).collect()
+    assert len(got) == n
+    ranks = {d: i for i, d in enumerate(sorted(r.doc_id for r in got))}
+    assert all((r.shard, r.slot) == sharding.locate(ranks[r.doc_id], n, 40) for r in got)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    if n:
+        counts = [len(slots.get(k, [])) for k in range(40)]
+        assert max(counts) - min(counts) <= 1
+
+
+def test_sharding_is_a_permutation():
+    for n in (1, 5, 64, 1001):
+        assert len({sharding.locate(i, n, 1, seed)[1] for i in range(n) for seed in (3,)}) == n
+
+
+def test_sharding_odd(odd):
+    assert sharding.shard(odd, 4, ["doc_id", "text"]).count() == len(ODD)
+
+
+# --- 10 decontamination
+
+
+def test_decontamination(spark, odd, empty):
+    rng = random.Random(12)
+    item = "Anna pays 12 dollars for 3 kg of apples and then sells them all for 12 dollars more than she paid"
+    bench = spark.createDataFrame([(1, item), (2, words(rng, 30)), (3, "five plain words are here"), (4, None), (5, "")], "item_id long, text string")
+    docs = {
+        1: words(rng, 40) + " " + item + " " + words(rng, 10),
+        2: words(rng, 20) + ". " + item.replace("12", "40").replace("3 kg", "9 kg") + ".",  # other numbers, consistently
+        3: item.replace("12 dollars for", "40 dollars for").upper(),
+        4: words(rng, 90),
+        5: " ".join(str(rng.randrange(99)) for _ in range(60)),
+        6: "five plain words are here",
+        7: "then five plain words are here too",
+        8: None,
+    }
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(df, bench).collect()}
+    assert (1, 1) in got and (2, 1) in got and (6, 3) in got
+    assert not got[1, 1].reparameterised and got[2, 1].reparameterised and got[1, 1].share > 0.9
+    assert not {d for d, _ in got} & {4, 5, 8}
+    one = {r.doc_id: r.share for r in decontamination.hits(df, bench).collect()}
+    assert one.get(3, 0) < one[2]  # one number for two different ones
+    assert {r.doc_id for r in decontamination.decontaminate(df, bench).collect()} >= {4, 5, 8}
+    assert decontamination.hits(odd, bench).count() == 0 and decontamination.decontaminate(odd, bench).count() == len(ODD)
+    assert decontamination.hits(empty, bench).count() == 0 and decontamination.hits(df, bench.limit(0)).count() == 0
+
+
+# --- contracts
+
+
+@needs_data
+def test_contract_queries(spark):
+    from tidelog.llm.queries import QUERIES
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    want = {
+        "op1_langid": ["doc_id", "held_out", "lang_pred", "score"],
+        "op3_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        "op4_jaccard": ["doc_id", "n_shingles", "component_id"],
+        "op5_topk": ["query_id", "rank", "vec_id", "score"],
+        "op7_toxicity": ["doc_id", "held_out", "score", "predicted"],
+        "op8_suffixes": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        "op9_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    }
+    for name, columns in want.items():
+        out = QUERIES[name](spark, DATA)
+        assert out.columns == columns, name
+        if name != "op5_topk":
+            assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(docs), name
+    fold = {r.doc_id: r.held_out for r in QUERIES["op1_langid"](spark, DATA).collect()}
+    assert all(held == (zlib.crc32(str(d).encode()) % 3 == 1) for d, held in fold.items())
+    sizes = {r.doc_id: (r.size, r.text_crc32) for r in QUERIES["op9_sharding"](spark, DATA).collect()}
+    assert all(v == (len((docs[d].text or "").encode()) + 16, zlib.crc32((docs[d].text or "").encode())) for d, v in sizes.items())
+
+
+@needs_data
+def test_pipeline(spark):
+    import corpus_pipeline as pipe
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names = docs.columns
+    for name, stage in pipe.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == names, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    last = pipe.STAGES[-1][1](spark, docs, DATA)
+    assert last.count() == docs.count() == pipe.run(spark, DATA).count()
