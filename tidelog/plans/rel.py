@@ -198,6 +198,22 @@ def as_rel(x) -> Rel:
     raise TypeError(f"not a set of messages: {x!r}")
 
 
+def merged(*rels: Rel) -> DataFrame:
+    """Ids of several sets together, an id once for each set that has it; order by the id to merge them."""
+    out = rels[0].ids()
+    for r in rels[1:]:
+        out = out.union(r.ids())
+    return out
+
+
+def intersection(*rels: Rel) -> Rel:
+    """All sets' common ids; the compiler orders native conditions before joins."""
+    out = rels[0]
+    for r in rels[1:]:
+        out = out & r
+    return out
+
+
 def same(a: Any, b: Any) -> bool:
     """Whether two trees are the same by structure; functions, Columns and frames are the same if identical."""
     if a is b:

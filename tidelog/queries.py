@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import binary, binspec, codecs, scalars
 from tidelog.operators import quality, temporal
 from tidelog.plans.compiler import py
+from tidelog.plans.rel import intersection, merged
 from tidelog.sources.dataset import Dataset
 from tidelog.sources.playback import header_columns, read_playback_files, record
 from tidelog.sources.writer import adaptive_layout, ingest, runs
@@ -186,6 +187,18 @@ def key_link_stats(spark, d):
     return orders(spark, d).idx["part"].link_stats()
 
 
+@query("""select 'event_type' as field, event_type as key, count(*) as n_refs from events group by event_type
+          union all select 'user_id', user_id::varchar, count(*) from events group by user_id""")
+def key_dictionaries(spark, d):
+    return events(spark, d).idx.dictionaries()
+
+
+@query("select min(user_id) as low, max(user_id) as high from events")
+def key_bounds(spark, d):
+    ds = events(spark, d)
+    return ds.idx["user_id"].stats().agg(F.min("key").alias("low"), F.max("key").alias("high"))
+
+
 # --- selection ---------------------------------------------------------------------------------------------------
 
 
@@ -321,6 +334,18 @@ def set_complement(spark, d):
     return (~events(spark, d).idx["event_type"]["error"]).ids()
 
 
+@query(f"{A} union all {B} union all {K}")
+def set_merge(spark, d):
+    a, b, _, k = _sets(spark, d)
+    return merged(a, b, k)
+
+
+@query(f"{A} intersect {C} intersect select event_id from events where user_id between 3 and 20")
+def set_many_and(spark, d):
+    a, _, c, _ = _sets(spark, d)
+    return intersection(a, c, a.ds.idx["user_id"][3:20]).ids()
+
+
 @query("select event_id from events where user_id in (1, 2, 3, 5, 8, 13, 21)")
 def set_many_or(spark, d):
     user = events(spark, d).idx["user_id"]

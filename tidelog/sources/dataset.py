@@ -157,6 +157,11 @@ class Index:
             raise AttributeError(name)
         return self[name]
 
+    def dictionaries(self) -> DataFrame:
+        """Rows (field, key, n_refs) of all fields, keys as text."""
+        parts = [self[n].stats().select(F.lit(n).alias("field"), F.col("key").cast("string").alias("key"), "n_refs") for n in self.keys()]
+        return reduce(DataFrame.union, parts)
+
     def __call__(self, **conditions) -> Rel:
         """Each keyword is a field; its value a key, a list of keys or a predicate on keys."""
         parts = []
