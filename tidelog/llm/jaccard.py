@@ -3,8 +3,8 @@
 A document is the set of its word n-grams (64-bit hashes). Documents of one set form a class, and classes are
 joined. If two sets reach the similarity, then under any global order of the tokens their prefixes share a token. Three orders
 are used: A puts rare tokens first (counted over the whole corpus; ties by hash), B and C are independent hash
-orders. Candidates come from a join on A's prefix tokens with the sizes' bound; the prefixes under B and C must also
-meet before a pair is verified on the whole sets.
+orders. Candidates come from a join on A's prefix tokens with the sizes' bound; A's prefixes are lengthened so that partners must share
+several of their tokens, and the prefixes under B and C must also meet before a pair is verified on the whole sets.
 
 To keep large groups of near copies linear, classes first meet only the smallest class of a token and size band (one
 each); what is verified there is merged, and the second join asks only for pairs of different components. Every
@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filter_words, in_filter, materialize, mix, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
+from .sketch import bucket_bits, passes, repeated_filter
 
 #: Tokens that come in so many documents of a chunk of text are counted; the commonest HEAVY of them stand last in order A (the
 #: table that is broadcast, 1.6 MB at most). Which tokens these are decides about speed alone.
-COMMON_IN_CHUNK, HEAVY, CHUNK = 3, 100_000, 4 << 20
+COMMON_IN_CHUNK, HEAVY, CHUNK = 3, 100_000, 2 << 20
+#: Order A's prefixes are so long that partners share so many tokens in them (or all that they must share, if those are fewer).
+SHARED = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -87,8 +90,14 @@ class Threshold:
         self.num, self.den = num, den
         self.least = -(-num // (den - num)) if den > num else 1 << 62  # smaller sets only link with equal ones
 
-    def prefix(self, size: np.ndarray) -> np.ndarray:
-        return size + (-self.num * size) // self.den + 1  # size - ceil(size * num / den) + 1
+    def overlap(self, size):
+        """Tokens that a set of this size must share with any partner, at least."""
+        return -((-self.num * size) // self.den)
+
+    def prefix(self, size: np.ndarray, shared: int = 1) -> np.ndarray:
+        """Length of the prefix in which it shares `shared` of them under any order (or all it must, if those are fewer)."""
+        least = self.overlap(size)
+        return size - least + np.minimum(shared, least)
 
 
 def prefix_mask(sets: Sets, keys: tuple, length: np.ndarray) -> np.ndarray:
@@ -116,31 +125,45 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "kind byte, a long, s1 long, s2 long, n long")
 
 
+def _prefixes(piece: pa.RecordBatch, seen: set, width: int, limit: Threshold, heavy: tuple[np.ndarray, np.ndarray]) -> tuple[Sets, np.ndarray]:
+    """The sets of a piece, and the indices of order A's prefix tokens of those that this task has not had yet."""
+    common, often = heavy
+    sets = Sets(piece.column("text"), width)
+    fresh = np.zeros(piece.num_rows, bool)
+    for k in np.flatnonzero(sets.size >= limit.least).tolist():
+        s = int(sets.hashes[0][k])
+        fresh[k] = s not in seen
+        seen.add(s)
+    if len(common):
+        spot = np.minimum(np.searchsorted(common, sets.token), len(common) - 1)
+        count = np.where(common[spot] == sets.token, often[spot], 0)
+    else:
+        count = np.zeros(len(sets.token), np.int64)
+    return sets, prefix_mask(sets, (mix(sets.token), count), np.where(fresh, limit.prefix(sets.size, SHARED), 0))
+
+
 def _postings(docs: DataFrame, width: int, limit: Threshold, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (token, s1, n): prefix tokens under order A of each class, once for each task that holds one of its documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    """Rows (token, s1, n): prefix tokens under order A that may come more than once, once for each task that holds one of the class's documents."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def tokens(piece: pa.RecordBatch, seen: set) -> np.ndarray:
+        sets, at = _prefixes(piece, seen, width, limit, table.value)
+        return sets.token[at]
+
+    words = repeated_filter(docs.select("text"), tokens, parts, 1 << 62)[0]
+    bits, shared = bucket_bits(parts), docs.sparkSession.sparkContext.broadcast(words)
     schema = pa.schema([("token", pa.int64()), ("s1", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, often = shared.value
         seen: set[int] = set()
         for piece in text_chunks(batches, limit=CHUNK):
-            sets = Sets(piece.column("text"), width)
-            fresh = np.zeros(piece.num_rows, bool)
-            for k in np.flatnonzero(sets.size >= limit.least).tolist():
-                s = int(sets.hashes[0][k])
-                fresh[k] = s not in seen
-                seen.add(s)
-            if len(common):
-                spot = np.minimum(np.searchsorted(common, sets.token), len(common) - 1)
-                count = np.where(common[spot] == sets.token, often[spot], 0)
-            else:
-                count = np.zeros(len(sets.token), np.int64)
-            at = prefix_mask(sets, (mix(sets.token), count), np.where(fresh, limit.prefix(sets.size), 0))
+            sets, at = _prefixes(piece, seen, width, limit, table.value)
+            at = at[passes(shared.value, sets.token[at], bits)]
             of = sets.of[at]
             yield pa.record_batch([pa.array(sets.token[at].view(np.int64)), pa.array(sets.hashes[0][of]), pa.array(sets.size[of].astype(np.int32))], schema=schema)
 
-    return docs.mapInArrow(run, "token long, s1 long, n int")
+    return docs.mapInArrow(run, "token long, s1 long, n int").distinct()
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int, limit: Threshold) -> DataFrame:
@@ -215,20 +238,27 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: st
     order = np.argsort(heavy[0])
     postings = _postings(docs, width, limit, (heavy[0][order], heavy[1][order]))
 
-    # tokens that stand in the prefixes of several classes
-    several = postings.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo != hi").select("token")
-    meeting = materialize(postings.join(several, "token").distinct(), "postings")
+    meeting = materialize(postings, "postings")
     of_class = classes.where(F.col("n") >= limit.least).groupBy("s1").agg(F.min("id").alias("id")).where("id is not null")
-    wanted = of_class.join(meeting.select("s1").distinct(), "s1", "left_semi").select("id", "s1")
-    sets = materialize(_whole_sets(docs, materialize(wanted, "wanted"), width, limit), "whole")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = materialize(pairs, f"{name}-pairs")
+        asked = pairs.select(F.col("u").alias("s1")).union(pairs.select("v")).distinct()
+        wanted = materialize(of_class.join(asked, "s1", "left_semi").select("id", "s1"), f"{name}-wanted")
+        return materialize(_verify(pairs, materialize(_whole_sets(docs, wanted, width, limit), f"{name}-sets"), limit), f"{name}-links")
 
     # first join: each class with the smallest class of a token and size band, its best partner
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
     banded = meeting.withColumn("band", band)
-    head = banded.groupBy("token", "band").agg(F.min("s1").alias("v"))
-    met = banded.join(head, ["token", "band"]).where("s1 != v").groupBy(F.col("s1").alias("u"), "v").agg(F.count("*").alias("shared"))
-    star = met.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
-    links = materialize(_verify(star, sets, limit), "links")
+    head = banded.groupBy("token", "band").agg(F.min(F.struct("s1", "n")).alias("h"), F.count("*").alias("of")).where("of > 1")
+    head = materialize(head.select("token", "band", F.col("h.s1").alias("v"), F.col("h.n").alias("vn")), "heads")  # leaves Spark free to split hot tokens
+
+    def enough(shared, un, vn):
+        return shared >= F.least(F.lit(SHARED), F.ceil(un * num / F.lit(den)), F.ceil(vn * num / F.lit(den)))
+
+    met = banded.join(head, ["token", "band"]).where("s1 != v").groupBy(F.col("s1").alias("u"), "v", F.col("n").alias("un"), "vn").agg(F.count("*").alias("shared"))
+    met = met.where(enough(F.col("shared"), F.col("un"), F.col("vn")) & (F.least("un", "vn") * den >= F.greatest("un", "vn") * num))
+    links = verified(met.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v")), "star")
     joined = components(links)
 
     # second join: pairs of classes from different components
@@ -236,9 +266,9 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: st
     small = named.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("s1").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"))
     big = named.select("token", "band", F.col("s1").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"))
     sized = ((F.col("un") < F.col("vn")) | ((F.col("un") == F.col("vn")) & (F.col("u") < F.col("v")))) & (F.col("un") * den >= F.col("vn") * num)
-    rest = small.join(big, ["token", "band"]).where(sized & (F.col("ur") != F.col("vr"))).select("u", "v").distinct()
-    more = _verify(materialize(rest, "pairs"), sets, limit)
-    roots = components(materialize(links.union(more), "edges"))
+    rest = small.join(big, ["token", "band"]).where(sized & (F.col("ur") != F.col("vr"))).groupBy("u", "v", "un", "vn").agg(F.count("*").alias("shared"))
+    more = verified(rest.where(enough(F.col("shared"), F.col("un"), F.col("vn"))).select("u", "v"), "rest")
+    roots = components(links.union(more))
 
     grouped = classes.join(roots, classes["s1"] == roots["node"], "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "s1"))).drop("node")
     least = grouped.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
