@@ -65,7 +65,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0).select("doc_id", "toxic")
-    out = score(docs, fit(labels.join(docs, "doc_id")))
+    out = score(docs, fit(labels, docs))
     value = F.col("toxicity")
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), value.alias("score"), F.when(value >= 0.5, 1).otherwise(0).alias("predicted"))
 

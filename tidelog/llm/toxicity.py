@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DOCS_PER_CLASS = 4_000
+DOCS_PER_CLASS = 3_000
+LEAST_ROWS = 3
 FEATURES = 4_000
 MINED_VOTERS = 6
 STEMS = range(4, 9)
@@ -94,26 +95,59 @@ class LabelModel:
         self.trust = 1 / (1 + np.clip(self.correlation, 0, None).sum(axis=1))
 
 
+class Bags:
+    """The sample's binary features as numbers; features of fewer than LEAST_ROWS rows are left out.
+
+    Rows are counted by 22 bits of the features' hashes first, so that the sample's many rare words are never held.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        counts = np.zeros(1 << 22, np.int32)
+        for t in texts:
+            counts[list({zlib.crc32(f.encode()) & 0x3FFFFF for f in features(t)})] += 1
+        self.ids: dict[str, int] = {}
+        rows = [[self.ids.setdefault(f, len(self.ids)) for f in features(t) if counts[zlib.crc32(f.encode()) & 0x3FFFFF] >= LEAST_ROWS] for t in texts]
+        self.n = len(texts)
+        self.row = np.repeat(np.arange(self.n), [len(x) for x in rows])
+        self.flat = np.array([f for x in rows for f in x], dtype=np.int64)
+        self.names = sorted(self.ids, key=self.ids.get)
+        self.rows = self.sums(np.ones(self.n))
+
+    def sums(self, value: np.ndarray) -> np.ndarray:
+        """Each feature's sum of a value of the rows that have it."""
+        return np.bincount(self.flat, weights=value[self.row], minlength=len(self.ids))
+
+    def log_odds(self, q: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """How much likelier each feature is in a toxic row, smoothed."""
+        toxic, clean = q * weight, (1 - q) * weight
+        return np.log((self.sums(toxic) + 0.5) / (toxic.sum() + 1)) - np.log((self.sums(clean) + 0.5) / (clean.sum() + 1))
+
+    def having(self, chosen: np.ndarray) -> np.ndarray:
+        """Whether each row has one of the features."""
+        return np.bincount(self.row, weights=chosen[self.flat], minlength=self.n) > 0
+
+
 class Linear:
     """Logistic regression over chosen binary features."""
 
-    def __init__(self, names: list[str], bags: list[set[str]], target: np.ndarray, weight: np.ndarray, rounds: int = 300):
-        at = {x: i for i, x in enumerate(names)}
-        lists = [[at[f] for f in bag if f in at] for bag in bags]
-        flat = np.array([i for x in lists for i in x], dtype=np.int64)
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        w, b = np.zeros(len(names)), 0.0
-        m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-        weight = weight / weight.mean()
-        for k in range(1, rounds + 1):
-            z = np.bincount(row, weights=w[flat], minlength=len(lists)) + b
+    def __init__(self, bags: Bags, chosen: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 300):
+        at = np.full(len(bags.ids), -1)
+        at[chosen] = np.arange(len(chosen))
+        keep = at[bags.flat] >= 0
+        flat, row = at[bags.flat[keep]], bags.row[keep]
+        k_features, n = len(chosen), max(bags.n, 1)
+        w, b = np.zeros(k_features), 0.0
+        m, v = np.zeros(k_features + 1), np.zeros(k_features + 1)
+        weight = weight / weight.mean() if len(weight) else weight
+        for k in range(1, rounds + 1 if bags.n else 1):
+            z = np.bincount(row, weights=w[flat], minlength=n) + b
             err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
-            grad = np.r_[np.bincount(flat, weights=err[row], minlength=len(names)) + 0.05 * w, err.sum()] / len(lists)
+            grad = np.r_[np.bincount(flat, weights=err[row], minlength=k_features) + 0.05 * w, err.sum()] / n
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
             w, b = w - step[:-1], b - step[-1]
-        self.weights = {x: float(y) for x, y in zip(names, w) if abs(y) > 1e-4}
-        self.bias = float(b)
+        self.weights = {bags.names[i]: float(y) for i, y in zip(chosen.tolist(), w) if abs(y) > 1e-4}
+        self.bias = float(b) if bags.n else -1e-9
         self.kept: dict[str, tuple[str, ...]] = {}
 
     def score(self, text: str | None) -> float:
@@ -130,48 +164,49 @@ class Linear:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def log_odds(bags: list[set[str]], q: np.ndarray, weight: np.ndarray) -> tuple[dict[str, float], Counter]:
-    """How much likelier each feature is in a toxic row, smoothed; and the number of rows that hold it."""
-    rows: Counter = Counter()
-    toxic: dict[str, float] = {}
-    clean: dict[str, float] = {}
-    for bag, p, w in zip(bags, q.tolist(), weight.tolist()):
-        rows.update(bag)
-        for f in bag:
-            toxic[f] = toxic.get(f, 0.0) + p * w
-            clean[f] = clean.get(f, 0.0) + (1 - p) * w
-    a, b = float((q * weight).sum()), float(((1 - q) * weight).sum())
-    return {f: math.log((toxic[f] + 0.5) / (a + 1)) - math.log((clean[f] + 0.5) / (b + 1)) for f, n in rows.items() if n >= 3}, rows
-
-
 def learn(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray) -> Linear:
     """The whole fit on the driver, over the bounded sample."""
+    bags = Bags(texts)
     if not len(texts):
-        return Linear([], [set()], np.array([0.0]), np.ones(1), 30)
-    bags = [features(t) for t in texts]
-    odds, rows = log_odds(bags, toxic.astype(float), weight)
-    mined = sorted((f for f, x in odds.items() if x > 2.5 and rows[f] >= 5), key=lambda f: (-odds[f] * math.log(rows[f]), f))[:600]
-    groups = [set(mined[k::MINED_VOTERS]) for k in range(MINED_VOTERS)]
-    votes = np.array([[int(y), *pattern_votes(t), *[1 if bag & g else -1 for g in groups], 0 if not any(bag & g for g in groups) else -1] for t, y, bag in zip(texts, toxic, bags)])
+        return Linear(bags, np.zeros(0, np.int64), toxic, weight)
+    odds = bags.log_odds(toxic.astype(float), weight)
+    strong = np.flatnonzero((odds > 2.5) & (bags.rows >= 5))
+    mined = sorted(strong.tolist(), key=lambda f: (-odds[f] * math.log(bags.rows[f]), bags.names[f]))[:600]
+    found = []
+    for k in range(MINED_VOTERS):
+        chosen = np.zeros(len(bags.ids))
+        chosen[mined[k::MINED_VOTERS]] = 1
+        found.append(bags.having(chosen))
+    votes = np.array([[int(y), *pattern_votes(t)] for t, y in zip(texts, toxic)])
+    nothing = np.where(np.any(found, axis=0), -1, 0)
+    votes = np.c_[votes, np.where(np.array(found).T, 1, -1), nothing]
     q = LabelModel().fit(votes, weight, np.where(toxic == 1, 0.9, 0.1))
-    odds, rows = log_odds(bags, q, weight)
-    names = sorted(odds, key=lambda f: (-abs(odds[f]) * math.sqrt(rows[f]), f))[:FEATURES]
-    return Linear(names, bags, q, weight)
+    odds = bags.log_odds(q, weight)
+    value = np.abs(odds) * np.sqrt(bags.rows)
+    best = sorted(range(len(value)), key=lambda f: (-value[f], bags.names[f]))[:FEATURES]
+    return Linear(bags, np.array(best, dtype=np.int64), q, weight)
+
 
+def choose(labels: DataFrame, label: str = "toxic", key: str = "doc_id") -> DataFrame:
+    """Rows (key, toxic, weight): about DOCS_PER_CLASS labels of each class at most, by the key's hash; so few that they can be broadcast.
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Linear:
-    """labelled: one row for each labelled document. Labels other than 0 and 1 teach nothing."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic"), F.xxhash64(F.col(key)).alias("h")).where("toxic in (0, 1)")
-    counts = {r["toxic"]: r["n"] for r in rows.select("toxic").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return learn([], np.zeros(0), np.zeros(0))
+    Labels other than 0 and 1 teach nothing.
+    """
+    rows = labels.select(F.col(key), F.col(label).cast("int").alias("toxic")).where("toxic in (0, 1)")
+    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     span = 1 << 30
-    limit = {y: min(span, span * DOCS_PER_CLASS // n) for y, n in counts.items()}
+    limit = {y: min(span, span * DOCS_PER_CLASS // n) for y, n in counts.items()} or {0: 0}
     table = F.create_map(*[F.lit(x) for pair in limit.items() for x in pair])
-    sample = rows.where(F.pmod("h", F.lit(span)) < table[F.col("toxic")]).select("text", "toxic", "h").toPandas()  # bounded by DOCS_PER_CLASS
-    sample = sample.sort_values(["h", "toxic", "text"])
-    toxic = sample["toxic"].to_numpy()
-    return learn([t if isinstance(t, str) else None for t in sample["text"]], toxic, np.array([span / limit[int(y)] for y in toxic]))
+    kept = rows.where(F.pmod(F.xxhash64(key), F.lit(span)) < table[F.col("toxic")])
+    return kept.withColumn("weight", F.lit(float(span)) / table[F.col("toxic")])
+
+
+def fit(labels: DataFrame, docs: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Linear:
+    """Learn from labels (key, label) and the documents (key, text); labels without a document teach nothing."""
+    chosen = choose(labels, label, key)
+    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
+    sample = rows.select(F.xxhash64(key).alias("h"), "toxic", "weight", "text").toPandas().sort_values(["h", "toxic", "text"])  # bounded by DOCS_PER_CLASS
+    return learn([t if isinstance(t, str) else None for t in sample["text"]], sample["toxic"].to_numpy(), sample["weight"].to_numpy(dtype=float))
 
 
 def score(df: DataFrame, model: Linear, column: str = "text") -> DataFrame:
