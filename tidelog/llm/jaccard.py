@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import filter_words, in_filter, materialize, mix, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
 from .sketch import bucket_bits, passes, repeated_filter
 
-#: Tokens that come in so many documents of a chunk of text are counted; the commonest HEAVY of them stand last in order A (the
-#: table that is broadcast, 1.6 MB at most). Which tokens these are decides about speed alone.
-COMMON_IN_CHUNK, HEAVY, CHUNK = 3, 100_000, 2 << 20
+#: Tokens are counted COUNTED_AT_ONCE at a time; those of COMMON documents or more there are summed up, and the commonest HEAVY
+#: of them stand last in order A (the table that is broadcast, 1.6 MB at most). Which tokens these are decides about speed alone.
+COMMON, COUNTED_AT_ONCE, HEAVY, CHUNK = 3, 2_000_000, 100_000, 2 << 20
 #: Order A's prefixes are so long that partners share so many tokens in them (or all that they must share, if those are fewer).
 SHARED = 8
 _SPACE = np.zeros(256, bool)
@@ -108,19 +108,28 @@ def prefix_mask(sets: Sets, keys: tuple, length: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: a document's (id, size, two set hashes); kind 1: a token common in a chunk of text, with its number of documents."""
+    """kind 0: a document's (id, size, two set hashes); kind 1: a token common in part of the text, with its number of documents there."""
     schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def common() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            held.clear()
+            often = count >= COMMON
+            token, count = token[often].view(np.int64), count[often]
+            none = np.zeros(len(token), np.int64)
+            return pa.record_batch([pa.array(np.ones(len(token), np.int8)), pa.array(token), pa.array(none), pa.array(none), pa.array(count.astype(np.int64))], schema=schema)
+
         for piece in text_chunks(batches, limit=CHUNK):
             sets = Sets(piece.column("text"), width)
             rows = piece.num_rows
             yield pa.record_batch([pa.array(np.zeros(rows, np.int8)), piece.column("id"), pa.array(sets.hashes[0]), pa.array(sets.hashes[1]), pa.array(sets.size.astype(np.int64))], schema=schema)
-            token, count = np.unique(sets.token, return_counts=True)
-            often = count >= COMMON_IN_CHUNK
-            token, count = token[often].view(np.int64), count[often]
-            none = np.zeros(len(token), np.int64)
-            yield pa.record_batch([pa.array(np.ones(len(token), np.int8)), pa.array(token), pa.array(none), pa.array(none), pa.array(count.astype(np.int64))], schema=schema)
+            held.append(sets.token)
+            if sum(map(len, held)) >= COUNTED_AT_ONCE:
+                yield common()
+        yield common()
 
     return docs.mapInArrow(run, "kind byte, a long, s1 long, s2 long, n long")
 
