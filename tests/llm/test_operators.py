@@ -299,6 +299,28 @@ def test_suffixes(spark, hot_from):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_suffixes(docs)
 
 
+@pytest.mark.parametrize("at_once", [10_000, 3])
+@pytest.mark.parametrize("order", ["descending", "shuffled"])
+def test_suffixes_out_of_order(spark, order, at_once):
+    """Copies that one task reads before the copy of smaller id."""
+    rng = random.Random(13)
+    docs = {}
+    for i in range(0, 200, 10):
+        a, b = words(rng, 20), words(rng, 20)
+        docs |= {i: a, i + 5: a + b, i + 6: b + words(rng, 9), i + 7: a + b, i + 8: a + b}
+    rows = sorted(docs.items(), reverse=True)
+    if order == "shuffled":
+        rng.shuffle(rows)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, at_once)
+    try:
+        got = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_suffixes(docs)
+
+
 def test_suffixes_odd(odd, empty):
     got = suffixes.dedup(odd).collect()
     assert len(got) == len(ODD) and all(r.n_removed == 0 for r in got) and suffixes.dedup(empty).count() == 0

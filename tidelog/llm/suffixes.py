@@ -11,7 +11,8 @@ Sorting every suffix would move many times the input. Only suffixes that can hav
    different texts share an anchor, their LENGTH-byte suffixes are sorted in the same way.
 
 Fingerprints of many occurrences (hot ones) send each LENGTH-byte suffix under its own hash instead, and every task first merges what it has
-of a text, so that no task gets a hot group whole. Copies of a whole document are found by their hash, and scanned once in a task.
+of a text, so that no task gets a hot group whole. Copies of a whole document are found by their hash; a task
+scans one again only if its id is smaller than those it has had, so that the copy of smallest id, which keeps the text, is always scanned.
 
 Null texts are empty; texts shorter than LENGTH lose nothing; a row with a null id neither loses bytes nor takes any; rows that share an
 id are no smaller than each other.
@@ -76,16 +77,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     return h[spot[a]], row[i[a]], i[a], i[np.r_[a[1:] - 1, len(i) - 1]]
 
 
-def _unseen(piece: pa.RecordBatch, seen: set[bytes]) -> pa.RecordBatch:
-    """The rows whose text this task has not had yet."""
-    keep = []
+def _keys(piece: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    """Row and digest of each text of LENGTH bytes or more."""
     for k, text in enumerate(piece.column("text")):
         if text.is_valid and len(raw := text.as_buffer().to_pybytes()) >= LENGTH:
-            key = hashlib.blake2b(raw, digest_size=16).digest()
-            if key not in seen:
-                seen.add(key)
-                keep.append(k)
-    return piece.take(pa.array(keep, pa.int64()))
+            yield k, hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _unseen(piece: pa.RecordBatch, seen: dict[bytes, int]) -> pa.RecordBatch:
+    """The rows whose text this task has not had yet, or under larger ids only; of a piece's equal texts, the one of smallest id."""
+    ids, keep = piece.column("id").to_pylist(), {}
+    for k, key in _keys(piece):
+        if key not in seen or ids[k] < seen[key]:
+            seen[key] = ids[k]
+            keep[key] = k
+    return piece.take(pa.array(sorted(keep.values()), pa.int64()))
 
 
 # --- deep-shallow sorting -------------------------------------------------------------------------------------------
@@ -175,7 +181,12 @@ def deep_shallow(group: np.ndarray, data: np.ndarray, start: np.ndarray, length:
 
 
 def _fingerprints(piece: pa.RecordBatch, seen: set[bytes]) -> np.ndarray:
-    data, offsets = text_bytes(_unseen(piece, seen).column("text"))
+    keep = []
+    for k, key in _keys(piece):  # any copy has its text's fingerprints
+        if key not in seen:
+            seen.add(key)
+            keep.append(k)
+    data, offsets = text_bytes(piece.take(pa.array(keep, pa.int64())).column("text"))
     return anchors(data, offsets)[0]
 
 
@@ -209,7 +220,7 @@ def _candidates(docs: DataFrame, words: np.ndarray, hot: np.ndarray, parts: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hot = shared.value
-        seen: set[bytes] = set()
+        seen: dict[bytes, int] = {}
         for piece in text_chunks(batches):
             piece = _unseen(piece, seen)
             data, offsets = text_bytes(piece.column("text"))
