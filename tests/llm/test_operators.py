@@ -230,6 +230,19 @@ def test_sentences(spark, odd, empty):
     assert sentences.dedup(empty).count() == 0
 
 
+def test_sentences_whole_passage(spark):
+    """Passages whose last sentences are too short to begin a span."""
+    rng = random.Random(14)
+    say = lambda n: words(rng, n, "abcdefghij").capitalize() + "."
+    for sizes in ((11, 12, 5), (12, 12, 1, 1), (9, 10, 11, 3)):
+        passage = " ".join(map(say, sizes))
+        docs = {1: f"{say(12)} {passage} {say(12)}", 2: f"{say(12)} {passage} {say(12)}", 3: f"{say(12)} {passage}", 4: passage, 5: f"{passage} {say(12)}"}
+        got = {r.doc_id: r for r in sentences.dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+        assert got[1].kept_text == docs[1] and got[4].kept_text == ""
+        for d in (2, 3, 5):
+            assert got[d].kept_text.split() == docs[d].replace(passage, "").split()
+
+
 # --- 7 toxicity
 
 

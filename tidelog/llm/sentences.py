@@ -2,7 +2,8 @@
 
 A text is cut into sentences (after . ! ? and at line ends); a sentence of more than LONG_SENTENCE words is cut further
 after words chosen by their hash, which two copies of a passage have in common. From every sentence on, the shortest run
-of at least SENTENCES sentences and SPAN_WORDS words is a span. Spans are hashed (two 64-bit hashes of their words), grouped
+of at least SENTENCES sentences and SPAN_WORDS words is a span, and so is the shortest such run up to every sentence: together they cover
+all sentences of a repeated run that is long enough, its last ones too. Spans are hashed (two 64-bit hashes of their words), grouped
 globally, and every sentence is removed that a span covers which is not its first occurrence, by document id and
 position.
 
@@ -69,7 +70,7 @@ class Split:
         self.of = self.doc[self.first]  # document of each sentence
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """The first and the last sentence of each span."""
+        """The first and the last sentence of each span: the shortest run from each sentence on, then those up to a sentence where none of them ends."""
         s = len(self.first)
         if not s:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -78,7 +79,12 @@ class Split:
         good = stop < s
         good[good] = self.of[stop[good]] == self.of[np.flatnonzero(good)]
         a = np.flatnonzero(good)
-        return a, stop[a]
+        begin = np.minimum(np.searchsorted(self.first, self.last - SPAN_WORDS + 1, side="right") - 1, np.arange(s) - SENTENCES + 1)
+        good = begin >= 0
+        good[good] = self.of[begin[good]] == self.of[np.flatnonzero(good)]
+        good[stop[a]] = False  # the latest run that ends there is the shortest
+        b = np.flatnonzero(good)
+        return np.r_[a, begin[b]], np.r_[stop[a], b]
 
     def span_hash(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = []
