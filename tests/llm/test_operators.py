@@ -243,6 +243,24 @@ def test_sentences_whole_passage(spark):
             assert got[d].kept_text.split() == docs[d].replace(passage, "").split()
 
 
+def test_sentences_without_ends(spark):
+    """Shared passages of 50 words without sentence ends, one-sentence copies, and copies of one-word runs."""
+    rng = random.Random(15)
+    pool = [f"w{i}" for i in range(5000)]
+    docs, inside = {}, []
+    for k in range(200):
+        passage = " ".join(rng.choices(pool, k=50))
+        for i in (2 * k, 2 * k + 1):
+            docs[i] = f"{' '.join(rng.choices(pool, k=rng.randrange(1, 30)))} {passage} {' '.join(rng.choices(pool, k=rng.randrange(1, 30)))}"
+        inside.append(2 * k + 1)
+    copies = [" ".join(rng.choices(pool, k=21)), *[f"{x} " * 40 for x in pool[:12]]]
+    docs |= {1000 + 2 * i + j: text for i, text in enumerate(copies) for j in (0, 1)}
+    got = {r.doc_id: r for r in sentences.dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert not [d for d in inside if len(docs[d].split()) - len(got[d].kept_text.split()) < 20]
+    assert not [d for d in inside if got[d - 1].n_removed]
+    assert all(got[1001 + 2 * i].kept_text == "" for i in range(len(copies)))
+
+
 # --- 7 toxicity
 
 

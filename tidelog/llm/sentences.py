@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after . ! ? and at line ends); a sentence of more than LONG_SENTENCE words is cut further
-after words chosen by their hash, which two copies of a passage have in common. From every sentence on, the shortest run
+after each word whose hash is the least in some window of CUT words of it (ties too), which two copies of a passage have in common
+but for its first and last words. No piece is longer than CUT words, and every shared passage of 50 words holds a span. From every sentence on, the shortest run
 of at least SENTENCES sentences and SPAN_WORDS words is a span, and so is the shortest such run up to every sentence: together they cover
 all sentences of a repeated run that is long enough, its last ones too. Spans are hashed (two 64-bit hashes of their words), grouped
 globally, and every sentence is removed that a span covers which is not its first occurrence, by document id and
@@ -64,11 +65,26 @@ class Split:
         ends = np.flatnonzero(stop)
         size = np.diff(np.r_[-1, ends])
         long_ = np.repeat(size > LONG_SENTENCE, size)
-        stop |= long_ & (mix(self.hash) % np.uint64(CUT) == 0)
+        stop |= self._least(np.where(long_, np.repeat(np.arange(len(ends)), size), -1))
         self.last = np.flatnonzero(stop)  # last word of each sentence
         self.first = np.r_[0, self.last[:-1] + 1]
         self.of = self.doc[self.first]  # document of each sentence
 
+    def _least(self, sentence: np.ndarray) -> np.ndarray:
+        """Words whose hash is the least in some window of CUT words of one sentence; no word of sentence -1."""
+        h, w = mix(self.hash) | np.uint64(1), len(self.hash)
+        out, n = np.zeros(w, bool), w - CUT + 1
+        if n < 1:
+            return out
+        inside = (sentence[:n] == sentence[CUT - 1 :]) & (sentence[:n] >= 0)
+        least = h[:n].copy()
+        for k in range(1, CUT):
+            np.minimum(least, h[k : k + n], out=least)
+        least[~inside] = 0
+        for k in range(CUT):
+            out[k : k + n] |= least == h[k : k + n]
+        return out
+
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """The first and the last sentence of each span: the shortest run from each sentence on, then those up to a sentence where none of them ends."""
         s = len(self.first)
@@ -157,7 +173,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 rows += _cut(piece.column("text"), covered.iloc[len(rows) : len(rows) + piece.num_rows])
             yield pd.DataFrame(rows, columns=["kept_text", "n_sentences", "n_removed", "removed"])
 
-    spans_of = F.transform("__covered", lambda x: F.array(x["first"], x["last"]))
+    spans_of = F.transform("__covered", lambda x: F.shiftleft(x["first"].cast("long"), 32) + x["last"])  # one number each: a worker holds flat arrays
     return joined.withColumn("__cut", cut(F.col(text), spans_of)).select(*[F.col(f"`{n}`") for n in names], "__cut.*")
 
 
@@ -171,10 +187,11 @@ def _cut(texts: pa.Array, covered) -> list[tuple]:
             rows.append((text, n, 0, []))
             continue
         gone = np.zeros(n + 1, np.int64)
-        for a, b in spans_:
-            if a < n:
-                gone[a] += 1
-                gone[min(b, n - 1) + 1] -= 1
+        both = np.asarray(spans_, np.int64)
+        a, b = both >> 32, both & 0xFFFFFFFF
+        b, a = b[a < n], a[a < n]
+        np.add.at(gone, a, 1)
+        np.add.at(gone, np.minimum(b, n - 1) + 1, -1)
         gone = np.cumsum(gone[:n]) > 0
         raw = text.encode()
         begins = split.start[split.first[lo : lo + n]] - int(split.offsets[k])
