@@ -43,6 +43,54 @@ def test_segments_continue(spark, folder):
     assert len(ds.idx["k"][0]) == 32
 
 
+def test_last_segment_again(spark, folder):
+    rows = lambda a, b: spark.range(a, b).select(F.col("id").alias("v"))
+    w = Writer(spark, f"{folder}/log", {})
+    w.append(rows(0, 10), ["v"])
+    assert w.append(rows(20, 25), ["v"], segment=0) == 0
+    assert w.append(rows(30, 40), ["v"]) == 5 and w.append(rows(50, 52), ["v"], segment=1) == 5
+    with pytest.raises(ValueError):
+        w.append(rows(0, 1), ["v"], segment=0)
+    ds = w.close()
+    assert len(ds) == 7 and [(r.msg_id, r.v) for r in ds] == list(enumerate([20, 21, 22, 23, 24, 50, 51])) and [r.v for r in ds[:3]] == [20, 21, 22]
+
+
+def test_codecs_in_the_writer(spark, folder):
+    rows = spark.createDataFrame([("batman", 25, [1, 2]), ("batman", 5, None), ("robin", None, [2]), ("superman", 2000, [])], "name string, age long, tags array<long>")
+    ds = ingest(rows.withColumn("n", F.monotonically_increasing_id()), f"{folder}/log", {"name": "name", "age": "age", "tag": "tags"}, ["n"], codec="str", codecs={"name": "str", "age": "uint32", "tag": "uint16"}, message="name")
+    again = open_dataset(spark, f"{folder}/log")
+    for d in (ds, again, again.access("postings"), again.access("scan")):
+        assert sorted(d.idx["age"].keys()) == [5, 25, 2000] and d.idx["name"].keys() == ["batman", "robin", "superman"]
+        assert sorted(r.msg_id for r in d.idx["age"](lambda k: k >= 6).ids().collect()) == [0, 3]
+        assert sorted(r.msg_id for r in (d.idx["name"]["batman"] & d.idx["age"][25]).ids().collect()) == [0]
+        assert sorted(r.msg_id for r in d.idx["tag"][2].ids().collect()) == [0, 2]
+    assert [r.msg for r in again.loaded().orderBy("msg_id").collect()] == ["batman", "batman", "robin", "superman"] and dict(again.messages.dtypes)["raw"] == "binary"
+
+
+def test_compound_queries_use_the_index(spark, folder):
+    rows = spark.range(2000).select(F.col("id").alias("v"), (F.col("id") % 50).alias("a"), (F.col("id") % 30).alias("b"))
+    ds = ingest(rows, f"{folder}/log", {"a": "a", "b": "b"}, ["v"])
+    a, b = ds.access("postings").idx["a"], ds.access("postings").idx["b"]
+    plan = lambda rel: rel.ids()._jdf.queryExecution().optimizedPlan().toString()
+    files = lambda rel: " ".join(rel.ids().inputFiles())
+    both = a[3] & b[3]
+    assert "postings/field=a" in files(both) and "postings/field=b" in files(both) and "/messages/" not in files(both)
+    assert sorted(r.msg_id for r in both.ids().collect()) == [i for i in range(2000) if i % 50 == 3 and i % 30 == 3]
+    tested = a[3](lambda m: m.v > 1000)
+    assert "postings/field=a" in files(tested) and "LeftSemi" in plan(tested)
+    assert sorted(r.msg_id for r in tested.ids().collect()) == [i for i in range(1001, 2000) if i % 50 == 3]
+    mixed = a[3] & ds.access("postings").stream(lambda m: m.b == 3)
+    assert "postings/field=a" in files(mixed) and mixed.count() == both.count()
+    assert sorted(r.msg_id for r in ((a[1] | a[2]) - b[1]).ids().collect()) == [i for i in range(2000) if i % 50 in (1, 2) and i % 30 != 1]
+    assert "/postings/" not in files(ds.access("scan").idx["a"][3] & ds.access("scan").idx["b"][3])
+
+
+def test_missing_and_mixed_keys(spark):
+    ds = Dataset(spark.createDataFrame([(0, 3), (1, None)], "msg_id long, a long"), {"a": "a"})
+    a = ds.idx["a"]
+    assert [r.msg_id for r in (a[None] | a[3]).ids().collect()] == [0] and (a[None] & a[3]).count() == 0 and a[None].count() == 0 and (a[None] | a[None]).count() == 0
+
+
 def test_postings_only_field(spark, folder):
     rows = spark.createDataFrame([(1, "x y"), (2, "y"), (3, "")], "ts long, words string")
     ds = ingest(rows, f"{folder}/log", {"word": F.filter(F.split("words", " "), lambda w: w != "")}, ["ts"])
@@ -232,3 +280,16 @@ def test_stream_state_and_windows(spark, tmp_path):
     assert [r.n for r in capture.sessions(timed, "ts", "1 minute", F.count("*").alias("n")).collect()] == [3]
     late = capture.event_time(timed, "ts", "1 minute")
     assert capture.first_only(late, ["k"]).count() == 2
+
+
+def test_late_rows_on_a_stream(spark, tmp_path):
+    """Windows close at the watermark: a row that comes after it is left out, one within it is counted."""
+    source = str(tmp_path / "in")
+    for batch in ([0, 30, 200], [210], [90, 10], [400]):  # after the first two, 90 s and 10 s lie in windows that end before the watermark of 140 s
+        spark.createDataFrame([(i,) for i in batch], "i long").select(F.timestamp_seconds("i").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(source)
+    counted = capture.tumbling(capture.event_time(stream, "ts", "1 minute"), "ts", "1 minute", F.count("*").alias("n"))
+    q = counted.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {int(r.start.timestamp()): r.n for r in spark.sql("select cast(start as timestamp) as start, n from windows").collect()}
+    assert got == {0: 2, 180: 2}

@@ -12,18 +12,40 @@ def piece(raw: Column, offset, size) -> Column:
     return F.substring(raw, start, size if isinstance(size, Column) else F.lit(size))
 
 
+def _swapped(value: Column, size: int) -> Column:
+    """A number of `size` bytes with its bytes in the opposite order."""
+    out = F.shiftleft(value.bitwiseAND(F.lit(0xFF)), 8 * (size - 1))
+    for k in range(1, size):
+        move = 8 * (size - 1 - 2 * k)
+        byte = value.bitwiseAND(F.lit(0xFF << (8 * k)))
+        out = out.bitwiseOR(F.shiftleft(byte, move) if move >= 0 else F.shiftrightunsigned(byte, -move))
+    return out
+
+
+def _unsigned(raw: Column, base: Column, size: int) -> Column:
+    """Up to 4 bytes as BIGINT, null if they are not there."""
+    taken = piece(raw, base, size)
+    big_endian = F.when(F.octet_length(taken) == size, F.conv(F.hex(taken), 16, 10).cast("bigint"))
+    # the number is made once, and then swapped
+    return big_endian if size == 1 else F.get(F.transform(F.array(big_endian), lambda v: _swapped(v, size)), F.lit(0))
+
+
 def le_unsigned(raw: Column, offset, size: int) -> Column:
     """An unsigned number; 8 bytes give DECIMAL(20,0), fewer BIGINT. Null if the bytes are not there."""
     base = offset if isinstance(offset, Column) else F.lit(offset)
-    hexed = F.concat(*[F.hex(piece(raw, base + k, 1)) for k in range(size - 1, -1, -1)])
-    return F.when(F.length(hexed) == 2 * size, F.conv(hexed, 16, 10)).cast("decimal(20,0)" if size == 8 else "bigint")
+    if size <= 4:
+        return _unsigned(raw, base, size)
+    high = _unsigned(raw, base + 4, size - 4).cast("decimal(20,0)")
+    return (high * F.lit(1 << 32).cast("decimal(11,0)") + _unsigned(raw, base, 4)).cast("decimal(20,0)" if size == 8 else "bigint")
 
 
 def le_signed(raw: Column, offset, size: int) -> Column:
     """A two's-complement number as BIGINT."""
-    value = le_unsigned(raw, offset, size).cast("decimal(20,0)")
-    half, whole = F.lit(str(1 << (8 * size - 1))).cast("decimal(20,0)"), F.lit(str(1 << (8 * size))).cast("decimal(21,0)")
-    return F.when(value >= half, value.cast("decimal(21,0)") - whole).otherwise(value).cast("bigint")
+    base = offset if isinstance(offset, Column) else F.lit(offset)
+    if size == 8:
+        return F.shiftleft(le_signed(raw, base + 4, 4), 32).bitwiseOR(_unsigned(raw, base, 4))
+    free = 64 - 8 * size
+    return F.shiftright(F.shiftleft(le_unsigned(raw, base, size), free), free)
 
 
 def le_bytes(value: Column, size: int) -> Column:

@@ -58,3 +58,46 @@ class Cursor:
     @property
     def message(self) -> Row:
         return self._rel.ds.messages.where(F.col(self._key) == self.at).take(1)[0]
+
+
+class StateCursor(Cursor):
+    """A cursor that keeps the state of fields at its place: each field's latest value that is not null, at or before the message.
+
+    goto() looks the state up in one aggregate over the set; next() carries it on; prev() looks it up again.
+    """
+
+    def __init__(self, rel, fields: list[str], at: int | None = None):
+        super().__init__(rel, at)
+        self.fields = list(fields)
+        self.state = dict.fromkeys(self.fields)
+        if at is not None:
+            self.goto(at)
+
+    def goto(self, at: int) -> dict:
+        """To a place in the log, which need not be a member of the set."""
+        self.at, self._ahead = at, []
+        latest = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(self._key))).alias(f) for f in self.fields]
+        self.state = self._rel.df(*self.fields).where(F.col(self._key) <= at).agg(*latest).first().asDict()
+        return self.state
+
+    def rewind(self) -> dict:
+        """To before the first message."""
+        self.at, self._ahead, self.state = None, [], dict.fromkeys(self.fields)
+        return self.state
+
+    def next(self) -> Row:
+        row = self._step(1)
+        self.state |= {f: row[f] for f in self.fields if row[f] is not None}
+        return row
+
+    __next__ = next
+
+    def prev(self) -> Row:
+        row = self._step(-1)
+        self.goto(self.at)
+        return row
+
+    def jump(self, position: int) -> Row:
+        row = super().jump(position)
+        self.goto(self.at)
+        return row

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .temporal import carry
+from .temporal import asof, carry
 
 
 @dataclass(frozen=True)
@@ -111,6 +111,24 @@ def tick_direction(df: DataFrame, by: Sequence[str], order: str, price: str, nam
     return out.withColumn(name, F.coalesce(F.signum(F.col(price) - F.col("__other")).cast("int"), F.lit(0))).drop("__other")
 
 
+def tick_by_index(df: DataFrame, key: str, order: str, price: str, name: str = "tick") -> DataFrame:
+    """The same as tick_direction() for one key column, by places: the key's price changes are a set of their own, and each row seeks the latest at or before it."""
+    stepped = carry(df.select(key, order, price), {"__before": F.col(price)}, order, [key], inclusive=False)
+    changes = stepped.where(F.col("__before").isNotNull() & (F.col(price) != F.col("__before"))).select(key, order, "__before")
+    out = asof(df, changes, order, [key])
+    tick = F.coalesce(F.signum(F.col(price) - F.col("__before_asof")).cast("int"), F.lit(0))
+    return out.withColumn(name, tick).select(*df.columns, name)
+
+
+def latest_state(df: DataFrame, states: DataFrame, by: Sequence[str], order: str, holds: Callable[[dict[str, Column], dict[str, Column]], Column]) -> DataFrame:
+    """One row (n_pass, n_fail): rows for which holds(own values, the values of the key's latest earlier state); rows without a state fail."""
+    found = asof(df, states, order, by, strict=True)
+    own = {c: F.col(c) for c in df.columns}
+    state = {c: F.col(f"{c}_asof") for c in states.columns if c not in by}
+    test = F.coalesce(holds(own, state), F.lit(False))
+    return found.agg(F.count_if(test).alias("n_pass"), F.count_if(~test).alias("n_fail"))
+
+
 def values_seen(df: DataFrame, key: str, value: str) -> DataFrame:
     """Rows (key, values): the distinct values of each key, sorted; for values of few kinds."""
     return df.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values"))

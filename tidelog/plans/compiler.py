@@ -3,6 +3,9 @@
 A tree whose leaves are all facts about one row (keys, ranges, native predicates, slices of the whole log) becomes one
 filter, which Catalyst pushes into the scan. Elsewhere sets meet in semi and anti joins on the id. Sorting happens only under a
 slice and at the end.
+
+On a stored dataset a tree that the index bounds to few messages starts from postings instead: an intersection from its rarest key, to
+which the other rare keys are joined; what is left of it is tested on the messages found.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from tidelog.operators.positions import with_position
 
 from .rel import Filter, Ids, Key, KeyPred, KeyRange, Nothing, Rel, SetOp, Slice, Stream
-from .rules import base_range, simplify
+from .rules import base_range, operands, simplify
 
 #: Accepted keys up to which a key predicate becomes an IN list; more of them are joined.
 IN_LIST = 1_000
@@ -84,7 +87,7 @@ def predicate(rel: Rel) -> Column | None:
         test = key_test(rel)
         if test is None:
             return None
-        return F.exists(column, test) if spec.multi else test(column)
+        return F.exists(column, lambda k: test(ds.decoded(spec, k))) if spec.multi else test(ds.decoded(spec, column))
     if isinstance(rel, Filter):
         own = as_column(rel.predicate, MessageColumns(ds.messages))
         base = None if own is None else predicate(rel.base)
@@ -145,10 +148,36 @@ def ids(rel: Rel) -> DataFrame:
     return _ids(simplify(rel))
 
 
+def refs(rel: Rel) -> int | None:
+    """A bound on the set's size from the index, None if it has none."""
+    if isinstance(rel, (Key, KeyRange)):
+        return rel.ds.n_refs(rel)
+    if isinstance(rel, Nothing):
+        return 0
+    if isinstance(rel, (Filter, Slice)):
+        return refs(rel.base)
+    if isinstance(rel, SetOp):
+        if rel.op == "sub":
+            return refs(rel.left)
+        both = [refs(rel.left), refs(rel.right)]
+        known = [n for n in both if n is not None]
+        if rel.op == "and":
+            return min(known, default=None)
+        return sum(known) if len(known) == 2 else None
+    return None
+
+
+def indexed(rel: Rel) -> bool:
+    """Whether the set is found through postings."""
+    return rel.ds.selective(refs(rel)) if rel.ds.has_index else False
+
+
 def _ids(rel: Rel) -> DataFrame:
     ds = rel.ds
     if isinstance(rel, (Key, KeyRange)) and ds.use_postings(rel):
         return ds.postings(rel.name).where(key_test(rel)(F.col("key"))).select(ds.msg_id).distinct()
+    if isinstance(rel, (SetOp, Filter)) and indexed(rel):
+        return _filtered(rel) if isinstance(rel, Filter) else _by_index(rel)
     p = predicate(rel)
     if p is not None:
         return ds.messages.where(p).select(ds.msg_id)
@@ -163,6 +192,26 @@ def _ids(rel: Rel) -> DataFrame:
     return _joined(rel)
 
 
+def _by_index(rel: SetOp) -> DataFrame:
+    """A set that the index bounds. Row-local conditions on the rest are tested on the messages found so far."""
+    ds = rel.ds
+    if rel.op == "and":
+        parts = sorted(operands(rel, "and"), key=lambda x: (n := refs(x)) is None and float("inf") or n or 0)
+        out, rest = _ids(parts[0]), None
+        for x in parts[1:]:
+            p = None if indexed(x) else predicate(x)
+            if p is None:
+                out = out.join(_ids(x), ds.msg_id, "left_semi")
+            else:
+                rest = p if rest is None else rest & p
+        return out if rest is None else ds.messages.join(out, ds.msg_id, "left_semi").where(rest).select(ds.msg_id)
+    if rel.op == "sub":
+        out, p = _ids(rel.left), None if indexed(rel.right) else predicate(rel.right)
+        if p is not None:
+            return ds.messages.join(out, ds.msg_id, "left_semi").where(~_true(p)).select(ds.msg_id)
+    return _joined(rel)
+
+
 def _by_dictionary(rel: Rel) -> DataFrame:
     """Keys are judged once each, over the field's dictionary; what passes becomes an IN list, or a join if it is long."""
     ds = rel.ds
@@ -253,7 +302,8 @@ def messages(rel: Rel, columns: tuple[str, ...]) -> DataFrame:
     """The set's messages. The id set is found first, on narrow rows; the asked columns are read for its members only."""
     ds, rel = rel.ds, simplify(rel)
     out = ds.messages.select(*dict.fromkeys([ds.msg_id, *columns])) if columns else ds.messages
-    p = None if isinstance(rel, (Key, KeyRange)) and ds.use_postings(rel) else predicate(rel)
+    through = ds.use_postings(rel) if isinstance(rel, (Key, KeyRange)) else isinstance(rel, (SetOp, Filter)) and indexed(rel)
+    p = None if through else predicate(rel)
     if p is not None:
         found = ds.messages.where(p)
         return found.select(*out.columns)

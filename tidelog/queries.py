@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import binary, binspec, codecs, scalars
 from tidelog.operators import quality, temporal
+from tidelog.operators.cursor import StateCursor
 from tidelog.plans.compiler import py
 from tidelog.plans.rel import intersection, merged
 from tidelog.sources.dataset import Dataset
@@ -59,6 +60,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for written datasets, in the shared folder of the cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder}/{name}-{uuid.uuid4().hex}"
@@ -78,6 +82,12 @@ def src_point_get(spark, d):
     return ds[-3:-2].df("event_type")
 
 
+@query("select event_id, value from events where event_id in (7, (select max(event_id) - 1 from events))")
+def src_item(spark, d):
+    ds = events(spark, d)
+    return spark.createDataFrame([(r["event_id"], r["value"]) for r in (ds[7], ds[-2])], "event_id long, value double")
+
+
 @query("select event_id from events where event_id >= 10 and event_id < 200 and (event_id - 10) % 7 = 0")
 def src_slice_step(spark, d):
     return events(spark, d)[10:200:7].ids()
@@ -99,9 +109,9 @@ def src_number_range(spark, d):
 
 
 @query("""select event_id as id, 'A' as hint, '10.0.0.' || (user_id % 7) as ip, '9000' as port, event_type as payload,
-          strlen(event_type)::int as payload_size from events where event_id < 500""")
+          strlen(event_type)::int as payload_size from events""")
 def src_playback(spark, d):
-    rows = events(spark, d)[:500].df()
+    rows = events(spark, d).stream.df()
     path = scratch(spark, "playback")
     # the payload carries the id in front; records are separated by the writer's line feeds
     payload = F.concat_ws(":", F.col("event_id").cast("string"), F.col("event_type"))
@@ -131,6 +141,34 @@ def snk_reopen_lookup(spark, d):
     return _stored(spark, d).access("postings").idx["user_id"][3].df("event_id").select("event_id")
 
 
+STORED = "select *, row_number() over (order by ts, event_id) - 1 as msg_id from events"
+
+
+@query("select event_id, value from events where event_type = 'purchase' and user_id = 3")
+def snk_index_and(spark, d):
+    idx = _stored(spark, d).access("postings").idx
+    return (idx["event_type"]["purchase"] & idx["user_id"][3]).df("event_id", "value").select("event_id", "value")
+
+
+@query("select event_id from events where user_id = 3 and value > 50")
+def snk_index_filter(spark, d):
+    return _stored(spark, d).access("postings").idx["user_id"][3](lambda m: m.value > 50).df("event_id").select("event_id")
+
+
+@query(f"select msg_id from ({STORED}) t where user_id in (3, 5) and event_type <> 'click'")
+def snk_index_sub(spark, d):
+    idx = _stored(spark, d).access("postings").idx
+    return ((idx["user_id"][3] | idx["user_id"][5]) - idx["event_type"]["click"]).ids()
+
+
+@query("select user_id::bigint as key, count(*) as n_refs from events group by user_id")
+def snk_key_codec(spark, d):
+    """Keys and messages stored as bytes by codecs, and read back as values."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type")
+    ds = ingest(rows, scratch(spark, "coded"), {"user": "user_id", "kind": "event_type"}, ["event_id"], codec="str", codecs={"user": "uint32", "kind": "str"}, message="event_type")
+    return ds.idx["user"].stats().select(F.col("key").cast("bigint").alias("key"), "n_refs")
+
+
 @query("""select key, n_refs, min_ref, max_ref from (select event_type as key, count(*) as n_refs, min(i) as min_ref, max(i) as max_ref
           from (select *, row_number() over (order by ts, event_id) - 1 as i from events) t group by event_type) t""")
 def snk_keystats(spark, d):
@@ -193,6 +231,18 @@ def key_dictionaries(spark, d):
     return events(spark, d).idx.dictionaries()
 
 
+@query("""select k as key, k in (select distinct user_id from events) as known, (select count(*) from events where user_id = k) as n_refs from (values (3), (7), (-1)) t(k)""")
+def key_membership(spark, d):
+    user = events(spark, d).idx["user_id"]
+    return spark.createDataFrame([(k, k in user, user.n_refs(k)) for k in (3, 7, -1)], "key int, known boolean, n_refs long")
+
+
+@query("select user_id as key from (select distinct user_id, dense_rank() over (order by user_id) as up, dense_rank() over (order by user_id desc) as down from events) t where up = 3 or down = 2")
+def key_at(spark, d):
+    user = events(spark, d).idx["user_id"]
+    return spark.createDataFrame([(user.key_at(2),), (user.key_at(-2),)], "key long")
+
+
 @query("select min(user_id) as low, max(user_id) as high from events")
 def key_bounds(spark, d):
     ds = events(spark, d)
@@ -273,10 +323,9 @@ def udf_key_predicate(spark, d):
     return events(spark, d).idx["event_type"](py(lambda k: "i" in k and len(k) == 5)).ids()
 
 
-@query("select event_id from events where event_id < 2000 and user_id % 3 = 1 and event_type = 'view'")
+@query("select event_id from events where user_id % 3 = 1 and event_type = 'view'")
 def udf_message_predicate(spark, d):
-    ds = events(spark, d)
-    return (ds[:2000] & ds.idx["event_type"]["view"])(py(lambda m: m.user_id % 3 == 1)).ids()
+    return events(spark, d).idx["event_type"]["view"](py(lambda m: m.user_id % 3 == 1)).ids()
 
 
 # --- set operators -----------------------------------------------------------------------------------------------
@@ -416,18 +465,18 @@ def slc_runs(spark, d):
 
 def _probes(spark, d, forward):
     ds = events(spark, d)
-    probes = ds.stream[::50].ids()
+    probes = ds.stream.ids()
     name = "ge_ref" if forward else "le_ref"
     return temporal.seek(probes, ds.idx["event_type"]["purchase"].ids(), "event_id", forward=forward, name=name)
 
 
-@query("""select e.event_id, p.event_id as ge_ref from (select event_id from events where event_id % 50 = 0) e
+@query("""select e.event_id, p.event_id as ge_ref from (select event_id from events) e
           asof left join (select event_id from events where event_type = 'purchase') p on e.event_id <= p.event_id""")
 def nav_ge(spark, d):
     return _probes(spark, d, True)
 
 
-@query("""select e.event_id, p.event_id as le_ref from (select event_id from events where event_id % 50 = 0) e
+@query("""select e.event_id, p.event_id as le_ref from (select event_id from events) e
           asof left join (select event_id from events where event_type = 'purchase') p on e.event_id >= p.event_id""")
 def nav_le(spark, d):
     return _probes(spark, d, False)
@@ -470,9 +519,33 @@ def nav_carry_forward(spark, d):
     return temporal.carry_forward(state, ["purchase", "view"], "event_id", ["user_id"]).drop("purchase", "view")
 
 
-@query("select event_id, event_type from events where user_id = 3 and event_id < 5000 order by event_id desc limit 20")
+@query("select event_id, event_type from events where user_id = 3 and event_id < 5000")
 def nav_prevs(spark, d):
-    return events(spark, d).idx["user_id"][3].prevs(5000).select("event_id", "event_type").limit(20)
+    return events(spark, d).idx["user_id"][3].prevs(5000).select("event_id", "event_type")
+
+
+@query("select event_id, event_type, user_id from events where event_type = 'purchase' order by event_id limit 40")
+def nav_cursor(spark, d):
+    """A client's walk over a set, forty steps on."""
+    ds = events(spark, d)
+    cursor = ds.idx["event_type"]["purchase"].cursor()
+    rows = [cursor.next() for _ in range(40)]
+    return spark.createDataFrame([(r.event_id, r.event_type, r.user_id) for r in rows], "event_id long, event_type string, user_id long")
+
+
+@query("""select event_id, last_value(case when event_type = 'purchase' then value end ignore nulls) over (order by event_id) as purchase,
+          last_value(case when event_type = 'view' then value end ignore nulls) over (order by event_id) as view from events
+          where user_id = (select user_id from events where event_id = 500) qualify event_id in (select event_id from events where user_id = (select user_id from events where event_id = 500) and event_id >= 500 order by event_id limit 3)""")
+def nav_state_cursor(spark, d):
+    """The state of a user's log at message 500 and at the next two."""
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    of = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
+    ds = Dataset(rows.withColumns({"purchase": of("purchase"), "view": of("view")}), {"user_id": "user_id"}, msg_id="event_id")
+    cursor = StateCursor(ds.idx["user_id"][ds[500]["user_id"]], ["purchase", "view"], at=500)
+    seen = [(500, *cursor.state.values())]
+    for _ in range(2):
+        seen.append((cursor.next()["event_id"], *cursor.state.values()))
+    return spark.createDataFrame(seen, "event_id long, purchase double, view double")
 
 
 @query("select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) as prev_role from conversations")
@@ -602,11 +675,25 @@ def dq_tick(spark, d):
     return quality.tick_direction(rows, ["user_id"], "event_id", "price")
 
 
-@query("""select count(*) filter (v.event_id is not null) as n_pass, count(*) filter (v.event_id is null) as n_fail from (select * from events where event_type = 'purchase') p
+@query("""select count(*) filter (v.value >= p.value) as n_pass, count(*) filter (v.value is null or v.value < p.value) as n_fail from (select * from events where event_type = 'purchase') p
           asof left join (select * from events where event_type = 'view') v on p.user_id = v.user_id and p.event_id > v.event_id""")
 def dq_latest_state(spark, d):
-    seen = F.col("event_id_asof").isNotNull()
-    return nav_asof(spark, d).agg(F.count_if(seen).alias("n_pass"), F.count_if(~seen).alias("n_fail"))
+    """Each message against the values of the latest earlier state of its key."""
+    kind = events(spark, d).idx["event_type"]
+    return quality.latest_state(kind["purchase"].df("user_id", "value"), kind["view"].df("user_id", "value"), ["user_id"], "event_id", lambda own, state: state["value"] >= own["value"])
+
+
+@query("""with v as (select event_id, user_id, (value::int)::bigint as price from events),
+          b as (select *, case when price <> lag(price) over w then lag(price) over w end as other from v window w as (partition by user_id order by event_id)),
+          c as (select *, last_value(other ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as o from b),
+          t as (select coalesce(sign(price - o), 0)::int as tick from c)
+          select tick, count(*) as n_scan, count(*) as n_index from t group by tick""")
+def dq_tick_two_ways(spark, d):
+    """The direction of a price against the key's last different one: by a scan of the log, and by the key's own postings and places."""
+    rows = events(spark, d).stream.df("user_id", "value").select("event_id", "user_id", F.rint("value").cast("bigint").alias("price"))
+    scan = quality.tick_direction(rows, ["user_id"], "event_id", "price").groupBy("tick").agg(F.count("*").alias("n_scan"))
+    index = quality.tick_by_index(rows, "user_id", "event_id", "price").groupBy("tick").agg(F.count("*").alias("n_index"))
+    return scan.join(index, "tick", "full").select("tick", "n_scan", "n_index")
 
 
 # --- decoding ----------------------------------------------------------------------------------------------------
@@ -627,16 +714,16 @@ def dec_struct(spark, d):
     return out.select(F.col("m.event_id").cast("bigint").alias("event_id"), F.col("m.user_id").alias("user_id"), "m.negative", "m.kind")
 
 
-@query("""select event_id, 0 as seq, 30 as msg_type, user_id % 1000 as a, cast(null as bigint) as n from events where event_id < 2000
-          union all select event_id, 1, 53, user_id % 1000, 2 from events where event_id < 2000""")
+@query("""select event_id, 0 as seq, 30 as msg_type, user_id % 1000 as a, cast(null as bigint) as n from events
+          union all select event_id, 1, 53, user_id % 1000, 2 from events""")
 def dec_packets(spark, d):
     spec = binspec.parse(PACKETS)
     u = F.col("user_id") % 1000
     add = F.concat(binary.le_bytes(F.lit(8), 2), binary.le_bytes(F.lit(30), 2), binary.le_bytes(u, 4))
     many = F.concat(binary.le_bytes(F.lit(16), 2), binary.le_bytes(F.lit(53), 2), binary.le_bytes(u, 2), binary.le_bytes(F.lit(2), 2), binary.le_bytes(u, 4), binary.le_bytes(u + 1, 4))
     head = F.concat(binary.le_bytes(F.lit(40), 2), binary.le_bytes(F.lit(2), 1), F.lit(b" "), binary.le_bytes(F.col("event_id"), 4), binary.le_bytes(F.col("event_id"), 8))
-    rows = events(spark, d)[:2000].df("user_id").select("event_id", F.concat(head, add, many).alias("payload"))
-    got = binspec.by_type(binspec.packets(rows, spec), spec)
+    rows = events(spark, d).stream.df("user_id").select("event_id", F.concat(head, add, many).alias("payload"))
+    got = binspec.by_type(binspec.packets(rows, spec, count="pieces"), spec)
     one = got[30].select("event_id", "seq", "msg_type", F.col("order").alias("a"), F.lit(None).cast("bigint").alias("n"))
     two = got[53].where(F.col("levels")[1]["price"] == F.col("levels")[0]["price"] + 1).select("event_id", "seq", "msg_type", F.col("levels")[0]["price"].alias("a"), F.size("levels").cast("bigint").alias("n"))
     return one.union(two)
@@ -644,11 +731,11 @@ def dec_packets(spark, d):
 
 PACKETS = """
 [header]
-PktSize = H
-MsgCount = B
-Filler = 1s
-SeqNum = I
-SendTime = Q
+bytes = H
+pieces = B
+pad = 1s
+serial = I
+sent = Q
 [add]
 _type = 30
 size = H
@@ -672,17 +759,17 @@ def dec_time(spark, d):
     return rows.select("event_id", scalars.time_of_day(F.date_format("ts", "HH:mm:ss.SSS")).alias("ms"), scalars.slash_date(F.date_format("ts", "yyyy/MM/dd")).alias("day"))
 
 
-@query("select event_id, '10.0.0.1' as ip, '9000' as port, strlen(event_type)::varchar as length from events where event_id < 1000")
+@query("select event_id, '10.0.0.1' as ip, '9000' as port, strlen(event_type)::varchar as length from events")
 def dec_header(spark, d):
-    rows = events(spark, d)[:1000].df("event_type")
+    rows = events(spark, d).stream.df("event_type")
     raw = record(F.col("event_type"), F.lit("10.0.0.1"), F.lit("9000"), F.lit("09:00:00.000"), F.lit("1.000000"))
     parts = header_columns(raw)
     return rows.select("event_id", *[parts[n].alias(n) for n in ("ip", "port", "length")])
 
 
-@query("select event_id, upper(hex(event_type)) as digits from events where event_id < 1000")
+@query("select event_id, upper(hex(event_type)) as digits from events")
 def dec_hex(spark, d):
-    rows = events(spark, d)[:1000].df("event_type")
+    rows = events(spark, d).stream.df("event_type")
     return rows.select("event_id", F.regexp_replace(binary.hexdump(F.col("event_type").cast("binary")), " ", "").alias("digits"))
 
 
@@ -713,6 +800,21 @@ def str_dedup(spark, d):
     return capture.first_only(events(spark, d).stream.df("user_id", "event_type").select("user_id", "event_type"), ["user_id", "event_type"])
 
 
+@query("select event_id, user_id % 3 as a, user_id % 5 as b, user_id % 2 as c from events")
+def dec_three_lists(spark, d):
+    """A message with three repeating groups, one after the other."""
+    spec = binspec.parse("[m]\nid = I\nna = B\nnb = B\nnc = B\n@as = na one\n@bs = nb two\n@cs = nc one\n[one]\nv = H\n[two]\nv = I\nw = b\n")
+    u = F.col("user_id")
+    group = lambda n, item: F.unhex(F.concat_ws("", F.transform(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.expr("array()").cast("array<int>")), lambda k: F.hex(item(k)))))
+    one, two = (lambda k: binary.le_bytes(k + 7, 2)), (lambda k: F.concat(binary.le_bytes(k * 1000, 4), binary.le_bytes(-k, 1)))
+    rows = events(spark, d).stream.df("user_id")
+    raw = F.concat(binary.le_bytes(F.col("event_id"), 4), binary.le_bytes(u % 3, 1), binary.le_bytes(u % 5, 1), binary.le_bytes(u % 2, 1), group(u % 3, one), group(u % 5, two), group(u % 2, one))
+    m = rows.select("event_id", "user_id", raw.alias("raw")).select("event_id", binspec.decode(F.col("raw"), spec, "m").alias("m"))
+    right = F.forall(F.arrays_zip(F.col("m.bs.v").alias("v"), F.col("m.bs.w").alias("w")), lambda x: x["v"] == -1000 * x["w"]) & F.forall("m.cs.v", lambda x: x == 8)
+    sizes = [F.when(right, F.size(F.col(f"m.{c}s"))).cast("bigint").alias(c) for c in "abc"]
+    return m.select("event_id", *sizes)
+
+
 @query("select event_type as key, count(*) as n_refs from events group by 1")
 def str_capture(spark, d):
     path, table = scratch(spark, "capture"), spark.read.parquet(f"{d}/events.parquet")

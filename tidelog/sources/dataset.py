@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.plans.compiler import MessageColumns, as_column
+from tidelog.operators.positions import dense_ids
+from tidelog.plans.compiler import MessageColumns, as_column, key_test
 from tidelog.plans.rel import Ids, Key, KeyPred, KeyRange, Rel, Stream
 
 #: Of a field's references, the share of the log up to which a lookup goes through the postings table.
@@ -37,6 +38,7 @@ class Dataset:
         self.fields = {n: s if isinstance(s, FieldSpec) else FieldSpec(s, s in arrays) for n, s in fields.items()}
         self._length = length
         self._access = "auto"
+        self._n_refs: dict = {}  # what the dictionary said; a stored dataset does not change under a reader
 
     # --- whole log
     @property
@@ -91,34 +93,64 @@ class Dataset:
         if path not in ("scan", "postings", "auto"):
             raise ValueError(path)
         out = Dataset(self.messages, dict(self.fields), self.msg_id, self.dense, self.path, self.loader, self._length)
-        out._access = path
+        out._access, out._n_refs = path, self._n_refs
         return out
 
+    @staticmethod
+    def decoded(spec: FieldSpec, key: Column) -> Column:
+        """A stored key as its value."""
+        if spec.codec == "native":
+            return key
+        from tidelog.functions.codecs import CODECS
+
+        return CODECS[spec.codec].load(key)
+
     def postings(self, name: str) -> DataFrame:
         """Rows (key, msg_id) of a field without repeats; from the stored table, or from the messages."""
         spec = self.fields[name]
         if self.path:
-            return self.spark.read.parquet(f"{self.path}/postings/field={name}")
+            return self._keyed(spec, f"{self.path}/postings/field={name}")
         rows = self.messages.select(F.col(f"`{spec.column}`").alias("key"), self.msg_id)
         if spec.multi:
             rows = rows.select(F.explode(F.array_distinct("key")).alias("key"), self.msg_id)
-        return rows.where("key is not null")
+        return rows.where("key is not null").withColumn("key", self.decoded(spec, F.col("key")))
+
+    def _keyed(self, spec: FieldSpec, path: str) -> DataFrame:
+        rows = self.spark.read.parquet(path)
+        return rows if spec.codec == "native" else rows.withColumn("key", self.decoded(spec, F.col("key")))
 
     def key_stats(self, name: str) -> DataFrame:
         """Rows (key, n_refs, min_ref, max_ref): the field's dictionary."""
         if self.path:
-            return self.spark.read.parquet(f"{self.path}/keystats/field={name}")
+            return self._keyed(self.fields[name], f"{self.path}/keystats/field={name}")
         return stats_of(self.postings(name), self.msg_id)
 
+    @property
+    def has_index(self) -> bool:
+        return self.path is not None and self._access != "scan"
+
+    def n_refs(self, rel: Rel) -> int | None:
+        """References of a lookup's keys, from the stored dictionary; None if there is none."""
+        if rel.name not in self.fields:
+            raise KeyError(rel.name)
+        if not self.path or (isinstance(rel, Key) and len(rel.keys) > 100):
+            return None
+        key = (rel.name, rel.keys) if isinstance(rel, Key) else (rel.name, rel.low, rel.high, "range")
+        if key not in self._n_refs:
+            found = self.key_stats(rel.name).where(key_test(rel)(F.col("key"))).agg(F.sum("n_refs")).first()[0]
+            self._n_refs[key] = found or 0
+        return self._n_refs[key]
+
+    def selective(self, refs: int | None) -> bool:
+        """Whether a set of so many messages at most is better found through postings."""
+        return refs is not None and (self._access == "postings" or refs <= SELECTIVE * len(self))
+
     def use_postings(self, rel: Rel) -> bool:
         if rel.name not in self.fields:
             raise KeyError(rel.name)
         if self.fields[rel.name].column is None or self._access == "postings":
             return True
-        if not self.path or self._access == "scan" or not isinstance(rel, Key) or len(rel.keys) > 100:
-            return False
-        refs = self.key_stats(rel.name).where(F.col("key").isin(list(rel.keys))).agg(F.sum("n_refs")).first()[0] or 0
-        return refs <= SELECTIVE * len(self)
+        return self.has_index and self.selective(self.n_refs(rel))
 
 
 def stats_of(postings: DataFrame, msg_id: str = "msg_id") -> DataFrame:
@@ -263,8 +295,7 @@ class FieldHandle:
 
     def ranked(self) -> DataFrame:
         """(key, pos): the keys' places in key order."""
-        place = F.row_number().over(Window.orderBy("key")) - 1  # over the dictionary, not the messages
-        return self.stats().select("key", place.cast("long").alias("pos"))
+        return dense_ids(self.stats().select("key"), ["key"], "pos").select("key", F.col("pos").cast("long").alias("pos"))
 
     def key_at(self, i: int):
         order, skip = (F.asc("key"), i) if i >= 0 else (F.desc("key"), -i - 1)

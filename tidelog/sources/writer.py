@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.codecs import CODECS
 from tidelog.operators.positions import compact_ids
 
 from .dataset import Dataset, FieldSpec, open_dataset, stats_of
@@ -31,37 +32,58 @@ def delete(spark: SparkSession, path: str) -> None:
 class Writer:
     """Creates a dataset and adds segments to it. An existing path is an error unless overwrite is asked for."""
 
-    def __init__(self, spark: SparkSession, path: str, index: Mapping[str, Column | str], codec: str | None = None, codecs: Mapping[str, str] | None = None, overwrite: bool = False):
-        """index: field to the expression of its keys; an array is a field of many keys. codecs: names of key codecs, for readers."""
-        self.spark, self.path, self.codec = spark, path, codec
+    def __init__(self, spark: SparkSession, path: str, index: Mapping[str, Column | str], codec: str | None = None, codecs: Mapping[str, str] | None = None, overwrite: bool = False, message: str = "msg"):
+        """index: field to the expression of its keys; an array is a field of many keys. codecs: field to the codec that stores its keys.
+
+        With a codec, the column `message` is stored as bytes in `raw`; a batch that has no such column must bring `raw`.
+        """
+        self.spark, self.path, self.codec, self.message = spark, path, codec, message
         self.index = {n: F.col(e) if isinstance(e, str) else e for n, e in index.items()}
         self.codecs = dict(codecs or {})
         if exists(spark, path):
             if not overwrite:
                 raise FileExistsError(path)
             delete(spark, path)
-        self.n, self.segments = 0, 0
+        self.ends: list[int] = []  # of each segment, the id after its last
+
+    @property
+    def n(self) -> int:
+        return self.ends[-1] if self.ends else 0
+
+    def _stored(self, df: DataFrame) -> DataFrame:
+        kinds = dict(df.select(*[e.alias(n) for n, e in self.index.items()]).dtypes)
+        keys = []
+        for name, e in self.index.items():
+            dump = CODECS[self.codecs[name]].dump if name in self.codecs else None
+            keys.append((e if dump is None else F.transform(e, dump) if kinds[name].startswith("array") else dump(e)).alias(INDEX + name))
+        out = df.select("*", *keys)
+        if self.codec and self.message in df.columns:
+            out = out.withColumn("raw", CODECS[self.codec].dump(F.col(f"`{self.message}`"))).drop(self.message)
+        return out
 
     def append(self, df: DataFrame, order: list[str], segment: int | None = None) -> int:
-        """Write a batch as one segment, ids going on from the last; returns the first id. A segment written again replaces itself."""
-        segment = self.segments if segment is None else segment
+        """Write a batch as one segment, ids going on from the last; returns the first id.
+
+        The last segment can be written again and then replaces itself; an earlier one cannot, since later ids go on from it.
+        """
+        segment = len(self.ends) if segment is None else segment
+        if not max(len(self.ends) - 1, 0) <= segment <= len(self.ends):
+            raise ValueError(f"segment {segment} is neither the last nor the next of {len(self.ends)}")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        keyed = df.select("*", *[e.alias(INDEX + n) for n, e in self.index.items()])
         landing = f"{self.path}/landing/{segment}"
-        placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        placed = self._stored(df).repartitionByRange(parts, *order).sortWithinPartitions(*order)
         placed.withColumn("__at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(landing)
         landed = self.spark.read.parquet(landing)
-        base = self.n
+        base = self.ends[segment - 1] if segment else 0
         numbered = compact_ids(landed, "__at", "msg_id", base)
         numbered.select("msg_id", *[c for c in numbered.columns if c != "msg_id"]).sortWithinPartitions("msg_id").write.mode("overwrite").parquet(f"{self.path}/messages/segment={segment}")
-        self.n = base + landed.count()
-        self.segments = max(self.segments, segment + 1)
+        self.ends[segment:] = [base + landed.count()]
         delete(self.spark, landing)
         return base
 
     def close(self) -> Dataset:
         """Compact what was captured and open it."""
-        if not self.segments:
+        if not self.ends:
             raise ValueError("nothing was written")
         compact(self.spark, self.path, list(self.index), self.codec, self.codecs, self.n)
         return open_dataset(self.spark, self.path)
