@@ -10,10 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of text that a worker's arrays are made for at once; a longer text is taken alone.
+CHUNK = 256 << 10
+
+
+#: Bytes of an Arrow batch. Spark's own bound is 10,000 rows, which is 30 MB of documents and more, on both sides of the pipe.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by BATCH for this session, unless it has set a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; only tests leave spark.checkpoint.dir unset."""
+    """Folder that driver and executors share. Without spark.checkpoint.dir a local master gets one of its own; a cluster is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
@@ -24,7 +42,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +63,7 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def text_chunks(batches, column: str = "text", limit: int = 2 << 20):
+def text_chunks(batches, column: str = "text", limit: int = CHUNK):
     """Cut Arrow batches so that each piece holds about `limit` bytes of text (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -49,6 +76,31 @@ def text_chunks(batches, column: str = "text", limit: int = 2 << 20):
             yield batch.slice(a, b - a)
 
 
+def string_chunks(array, limit: int = CHUNK):
+    """Cut a string array so that each piece holds about `limit` bytes (one row at least)."""
+    import pyarrow as pa
+
+    for piece in text_chunks([pa.record_batch([array], names=["text"])], limit=limit):
+        yield piece.column("text")
+
+
+def make_room(df: DataFrame, *names: str):
+    """df, in which columns with one of these names (in any case) are renamed to <name>_input, and a function from old names to new ones.
+
+    An operator's result columns keep their names, and no column of the caller is lost.
+    """
+    wanted = {n.lower() for n in names}
+    taken, moved = {c.lower() for c in df.columns} | wanted, {}
+    for c in df.columns:
+        if c.lower() in wanted:
+            new = f"{c}_input"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            moved[c] = new
+    return (df.withColumnsRenamed(moved) if moved else df), lambda name: moved.get(name, name)
+
+
 def _lengths(array):
     import pyarrow.compute as pc
 
@@ -82,7 +134,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
         ups, downs = np.full(size, _ODD, np.uint64), np.full(size, inverse, np.uint64)
         ups[0] = downs[0] = 1
@@ -105,21 +157,18 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * downs[starts] + (ends - starts).astype(np.uint64))
 
 
-#: Bits of a Bloom filter of ids: 1 MB, whatever the input. It only saves work: exact joins follow.
-ID_BITS = 23
-
+#: Bits of a Bloom filter of rows' keys: 1 MB, whatever the input. It only saves work: exact steps follow.
+FILTER_BITS = 23
 
-def filter_words(ids: DataFrame) -> np.ndarray:
-    """The filter of a column `id`, in words of 64 bits."""
-    spot = f"pmod(xxhash64(id), {1 << ID_BITS})"
-    words = ids.groupBy(F.expr(f"cast(shiftright({spot}, 6) as int)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({spot} % 64 as int))")).alias("bits"))
-    out = np.zeros(1 << (ID_BITS - 6), np.int64)
-    for r in words.collect():
-        out[r["w"]] = r["bits"]
-    return out.view(np.uint64)
 
+def passing(df: DataFrame, keys: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """df with a boolean column: whether the row's columns pass a Bloom filter of the same columns of keys. False means that keys does not have them.
 
-def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """hashes: xxhash64(id) as signed integers."""
-    spot = hashes & ((1 << ID_BITS) - 1)
-    return (words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0
+    The filter's words of 64 bits are a table of 131,072 rows at most, which is broadcast.
+    """
+    spot = F.pmod(F.xxhash64(*columns), F.lit(1 << FILTER_BITS))
+    word, bit = F.shiftright(spot, 6).cast("int"), F.pmod(spot, F.lit(64)).cast("int")
+    one = keys.select(word.alias("__word"), bit.alias("__bit"))
+    words = one.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    met = df.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(words), "__word", "left")
+    return met.withColumn(name, F.coalesce(F.expr("shiftright(__bits, __bit) & 1L") == 1, F.lit(False))).drop("__word", "__bit", "__bits")

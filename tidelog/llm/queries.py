@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import remainder, small_batches, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, identify
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = fit(docs.where(remainder("doc_id", 3) != 1))
     out = identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "language.lang_pred", "language.score")
@@ -26,7 +31,7 @@ def vocabulary() -> str:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
-    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = scan(documents(spark, sf_dir).select("doc_id", "text", "source"))
     found = out.select("doc_id", F.posexplode_outer("findings").alias("finding", "f")).where("f is not null")  # the plain form would scan twice
     value = F.col("f.value")
     return found.select("doc_id", "finding", F.col("f.start").alias("start"), F.length(value).alias("length"), F.sha2(value.cast("binary"), 256).alias("value_sha256"), F.col("f.score").alias("score"), F.col("f.is_secret").alias("is_secret"))
@@ -35,14 +40,14 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
-    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), digests_only=True)
+    out = encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary(), digests_only=True)
     return out.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import join
 
-    out = join(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+    out = join(documents(spark, sf_dir), width=4, num=85, den=100)
     return out.select("doc_id", "n_shingles", "component_id")
 
 
@@ -55,7 +60,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentences import dedup
 
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup(documents(spark, sf_dir).select("doc_id", "text"))
     digest = F.sha2(F.coalesce(F.col("kept_text"), F.lit("")).cast("binary"), 256)
     return out.select("doc_id", "n_sentences", "n_removed", "removed", digest.alias("kept_sha256"))
 
@@ -63,7 +68,7 @@ def op6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0).select("doc_id", "toxic")
     out = score(docs, fit(labels, docs))
     value = F.col("toxicity")
@@ -73,20 +78,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contaminated
 
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import dedup
 
-    out = dedup(table(spark, sf_dir, "documents"))
+    out = dedup(documents(spark, sf_dir), digests_only=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
     out = shard(rows, 40, ["doc_id", "text_crc32", "size"])
