@@ -14,8 +14,9 @@ Each state then has at most one arc for a label, and the one path that spells a
 factored: a gadget stores its number, its two parts and the arc that it took away, and `arc` unrolls copies (1) and (3)
 back to an arc between base symbols. Looked-up arcs go into a transition table.
 
-Encoding walks the table from the start of a pre-split word, longest label first, and steps back from a state that has no
-way on; decoding writes out the arcs' labels.
+Encoding is determined from left to right. A path's beginning is the path of what it spells, so that every place in a word
+has one state, the last label of the path up to there: of the labels that end at the place, the one that the state where it begins has an arc for.
+Each place is settled once by the table; nothing is searched or taken back. Decoding writes out the arcs' labels.
 """
 
 from __future__ import annotations
@@ -27,18 +28,20 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import make_room, string_chunks
+
 END = "</w>"
 #: Contractions of the vocabulary's own pre-split pattern (fixed values).
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 UNICODE_WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 ASCII_WORDS = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+")
 #: Entries that a worker keeps before it starts anew, and the longest word kept.
-WORDS_KEPT, LONGEST_KEPT, ARCS_KEPT = 300_000, 64, 2_000_000
+WORDS_KEPT, LONGEST_KEPT, ARCS_KEPT = 100_000, 32, 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -60,15 +63,15 @@ class MergeAutomaton:
         self.unused: set[int] = set()
         for k, (a, b) in enumerate(merges, 1):
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
-        self.spell: dict = {}  # tree of the labels' letters; a label stands under 0, or under 1 if it ends a word
+        self.inner: dict[str, int] = {}  # labels inside a word, and those that end one, by their letters
+        self.final: dict[str, int] = {}
         for label, i in vocab.items():
-            if i in self.unused:
-                continue
-            ends = label.endswith(END) and len(label) > len(END)
-            node = self.spell
-            for letter in label[: -len(END)] if ends else label:
-                node = node.setdefault(letter, {})
-            node[int(ends)] = i
+            if i not in self.unused:
+                if label.endswith(END) and len(label) > len(END):
+                    self.final[label[: -len(END)]] = i
+                else:
+                    self.inner[label] = i
+        self.longest = max(map(len, [*self.inner, *self.final]), default=0)
         self.table: dict[int, bool] = {}
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
@@ -102,44 +105,34 @@ class MergeAutomaton:
             known = self.table[key] = self._stands(state, label, 2 * self.size)
         return known
 
-    def _labels(self, word: str, at: int) -> list[tuple[int, int]]:
-        """Labels that spell the word from here on, with their ends, longest last."""
-        out, node, last = [], self.spell, len(word) - 1
-        for i in range(at, last + 1):
-            node = node.get(word[i])
-            if node is None:
-                break
-            label = node.get(i == last)
-            if label is not None:
-                out.append((label, i + 1))
-        return out
-
     def encode(self, word: str) -> list[int]:
         """The path that spells the word (symbols of bytes, without the end mark)."""
         n, size, table = len(word), self.size, self.table
-        path: list[int] = []
-        ends = [0]  # where each label of the path ends
-        open_: list[list[tuple[int, int]]] = [self._labels(word, 0)]  # what is left to try after each
-        dead: set[tuple[int, int]] = set()
-        while ends[-1] < n:
-            choices, last = open_[-1], path[-1] if path else -1
-            while choices:
-                label, end = step = choices.pop()
-                known = table.get(last * size + label) if last >= 0 else True
-                if known is None:
-                    known = self.arc(last, label)
-                if known:
-                    if not dead or step not in dead:
-                        path.append(label)
-                        ends.append(end)
-                        open_.append(self._labels(word, end) if end < n else [])
-                        break
-            else:
-                if not path:
-                    raise ValueError(f"the vocabulary cannot spell {word[:50]!r}")
-                dead.add((path.pop(), ends.pop()))
-                open_.pop()
-        return path
+        state, begin = [-1] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            labels = self.final if end == n else self.inner
+            for start in range(max(0, end - self.longest), end):
+                label = labels.get(word[start:end])
+                if label is None:
+                    continue
+                last = state[start]
+                if start:
+                    if last < 0:
+                        continue
+                    known = table.get(last * size + label)
+                    if known is None:
+                        known = self.arc(last, label)
+                    if not known:
+                        continue
+                state[end], begin[end] = label, start
+                break
+        if n and state[n] < 0:
+            raise ValueError(f"the vocabulary cannot spell {word[:50]!r}")
+        path = []
+        while n:
+            path.append(state[n])
+            n = begin[n]
+        return path[::-1]
 
 
 class WordBpe:
@@ -148,9 +141,12 @@ class WordBpe:
     def __init__(self, automaton: MergeAutomaton, added: dict[str, int]):
         self.automaton, self.added = automaton, added
         self.symbols = byte_symbols()
-        self.names = {i: s for s, i in added.items()}
+        self.names = list(automaton.labels)
+        for s, i in added.items():
+            self.names += [""] * (i + 1 - len(self.names))
+            self.names[i] = s
         self.marks = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.kept: dict[str, bytes] = {}
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -159,28 +155,34 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() looks at a word's end for this letter
         return UNICODE_WORDS.findall(text.lower())
 
-    def word(self, word: str) -> tuple[bytes, str]:
+    def word(self, word: str) -> bytes:
         path = self.automaton.encode("".join([self.symbols[b] for b in word.encode()]))
-        out = np.array(path, dtype="<u4").tobytes(), " ".join([self.automaton.labels[i] for i in path])
+        out = np.array(path, dtype="<u4").tobytes()
         if len(word) <= LONGEST_KEPT:
             if len(self.kept) >= WORDS_KEPT:
                 self.kept.clear()
             self.kept[word] = out
         return out
 
-    def run(self, text: str) -> tuple[bytes, str]:
-        """The ids as little-endian 32-bit integers, and the decoded text."""
-        found: list[tuple[bytes, str]] = []
+    def ids(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        found: list[bytes] = []
         get = self.kept.get
         for k, part in enumerate(self.marks.split(text) if self.marks and "<" in text else [text]):
             if k % 2:
-                found.append((np.array([self.added[part]], dtype="<u4").tobytes(), part))
+                found.append(np.array([self.added[part]], dtype="<u4").tobytes())
             else:
                 found += [get(w) or self.word(w) for w in self.words(part)]
-        return b"".join([x for x, _ in found]), " ".join([x for _, x in found])
+        return b"".join(found)
+
+    def run(self, text: str) -> tuple[bytes, str]:
+        """The ids, and the text decoded from them."""
+        ids = self.ids(text)
+        return ids, self.decode(np.frombuffer(ids, "<u4").tolist())
 
     def decode(self, ids) -> str:
-        return " ".join([self.names.get(i) or self.automaton.labels[i] for i in ids])
+        names = self.names
+        return " ".join([names[i] for i in ids])
 
 
 def load(path: str) -> WordBpe:
@@ -195,32 +197,39 @@ def load(path: str) -> WordBpe:
 def encode(df: DataFrame, vocabulary: str, column: str = "text", digests_only: bool = False) -> DataFrame:
     """Adds the column `bpe`: struct of n_tokens, ids (little-endian 32-bit integers), decoded, ids_sha256, decoded_sha256.
 
-    A null text counts as empty: no tokens, and the digests of nothing. Texts of any length are encoded whole; repeated rows
-    give equal results; all other columns, whatever their names, pass through. With digests_only, ids and decoded are null.
+    decoded is made from the ids. A null text counts as empty: no tokens, and the digests of nothing. Texts of any length are encoded
+    whole; repeated rows give equal results; other columns pass through, an own column `bpe` as `bpe_input`. With digests_only, ids and
+    decoded are null.
     """
+    df, named = make_room(df, "bpe")
     model = df.sparkSession.sparkContext.broadcast(load(vocabulary))
-    schema = "n_tokens long, ids binary, decoded string, ids_sha256 string, decoded_sha256 string"
 
-    @F.pandas_udf(schema)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<n_tokens long, ids binary, decoded string, ids_sha256 string, decoded_sha256 string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = model.value
+        kinds = (pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string())
         for texts in batches:
-            rows = []
-            for text in texts:
-                ids, decoded = bpe.run(text or "")
-                rows.append((len(ids) // 4, None if digests_only else ids, None if digests_only else decoded, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+            for piece in string_chunks(texts):  # what a worker holds at once
+                rows = []
+                for text in piece:
+                    ids, decoded = bpe.run(text.as_py() or "")
+                    rows.append((len(ids) // 4, None if digests_only else ids, None if digests_only else decoded, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
 
-    return df.withColumn("bpe", run(F.col(column)))
+    return df.withColumn("bpe", run(F.col(named(column))))
 
 
 def decode(df: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
-    """Adds the column `decoded`: the labels of the ids in a binary column of little-endian 32-bit integers; null stays null."""
+    """Adds the column `decoded`: the labels of the ids in a binary column of little-endian 32-bit integers; null stays null.
+
+    Other columns pass through, an own column `decoded` as `decoded_input`.
+    """
+    df, named = make_room(df, "decoded")
     model = df.sparkSession.sparkContext.broadcast(load(vocabulary))
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in batches:
-            yield pd.Series([None if x is None else model.value.decode(np.frombuffer(x, "<u4").tolist()) for x in column], dtype=object)
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids in batches:
+            yield pa.array([None if x is None else model.value.decode(np.frombuffer(x, "<u4").tolist()) for x in ids.to_pylist()], pa.string())
 
-    return df.withColumn("decoded", run(F.col(column)))
+    return df.withColumn("decoded", run(F.col(named(column))))
