@@ -1,9 +1,13 @@
 """Secret scans: patterns propose, a random forest removes false positives. Native.
 
-Candidates are values assigned to a telling name, and runs of 16 or more key letters with a digit. Each gets features from its
+Candidates are values given to a telling name ("name = value", "the password is value"), passwords in URLs, private keys of PEM blocks, JSON
+web tokens, and runs of 16 or more key letters with a digit. Given values have 6 letters or more. Each candidate gets features from its
 length, its character transitions, how much of it dictionary words cover, its look and path, and the words beside it. A
 random forest, trained on the driver from labelled findings (built-in ones or the caller's), is compiled into one SQL expression
-that runs inside the scan: no shuffle, no Python on the data.
+that runs inside the scan: no Python on the data.
+
+The dictionary is the corpus' own: its COMMON_WORDS commonest words of 4 to 20 letters, counted over all texts, beside a few fixed words that
+mark names and placeholders.
 """
 
 from __future__ import annotations
@@ -17,28 +21,44 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TREES, DEPTH = 15, 6
+from .common import make_room
+
+TREES, DEPTH = 15, 7
 MASK = "[SECRET]"
 #: Telling names, and letters of keys.
 NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)"
 HINTS = ("passw", "pwd", "secret", "token", "key", "credential")  # every telling name holds one
 KEY = "[A-Za-z0-9_+/=-]"
-ASSIGN = NAMES + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+ASSIGN = r"(?<![A-Za-z0-9_])[A-Za-z0-9_.-]{0,40}?" + NAMES + r"[A-Za-z0-9_]{0,20}[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+SAYS = NAMES + r"\s{1,3}is:?\s{1,3}[\"']?"
+URL = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]{1,64}:(?=[^\s@/]{3,64}@)"
+LEAD = f"{ASSIGN}|{SAYS}|{URL}"
+GIVEN = r"(?<=//[^\s:/@]{1,64}:)[^\s@/]{3,64}(?=@)|[^\s\"'<>,;]{6,}"
+PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8192}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+JWT = rf"(?<!{KEY})eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}"
 RUN = rf"(?<!{KEY})(?=[A-Za-z_+/=-]*\d){KEY}{{16,}}"
-CANDIDATE = rf"(?s)\G(.*?)(?:({ASSIGN})([^\s\"'<>,;]{{8,}})|({RUN}))"
+CANDIDATE = rf"(?s)\G(.*?)(?:({LEAD})({GIVEN})|({PEM}|{JWT}|{RUN}))"
+COMMON_WORDS = 5_000
 #: Words whose presence makes a candidate a name, a path or a placeholder rather than a key.
 DICTIONARY = ("account", "admin", "changeme", "client", "config", "data", "default", "demo", "dummy", "example", "fake", "file", "hello", "home", "image", "index", "insert", "item", "lib", "local", "login", "name", "null", "number", "order", "package", "page", "password", "path", "placeholder", "profile", "project", "python", "release", "replace", "report", "sample", "secret", "server", "service", "session", "setting", "site", "test", "token", "undefined", "user", "usr", "value", "version", "view", "world", "your", "here", "key")
 NEAR_GOOD = r"(?i)\b(secret|token|password|passwd|pwd|auth|bearer|credential|api|access|private|login|key)"
 NEAR_BAD = r"(?i)\b(example|sample|test|dummy|fake|placeholder|commit|checksum|sha1|sha256|md5|digest|etag|hash|uuid|card|order|invoice|phone|tracking|id)\b"
 PATH_BAD = r"(?i)(test|example|fixture|mock|sample|docs?/)"
-FEATURES = ("length", "transitions", "digits", "capitals", "distinct", "hex", "numeric", "covered", "slashes", "prefixed", "assigned", "near_bad", "near_good", "vowel_turns", "test_path", "uuid", "underscores")
+FEATURES = ("length", "transitions", "digits", "capitals", "distinct", "hex", "numeric", "covered", "slashes", "prefixed", "assigned", "near_bad", "near_good", "vowel_turns", "test_path", "uuid", "underscores", "known", "located", "block")
 
 
 def _share(text: Column, pattern: str, of: Column) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / of
 
 
-def _features(x: Column, path: Column) -> Column:
+def common_words(df: DataFrame, text: str = "text", words: int = COMMON_WORDS) -> list[str]:
+    """The commonest words of 4 to 20 letters over all texts, in order; so many at most."""
+    found = df.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?<![a-z0-9])([a-z]{4,20})(?![a-z0-9])"))).alias("w"))
+    top = found.groupBy("w").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "w").limit(words)
+    return sorted(r["w"] for r in top.collect())
+
+
+def _features(x: Column, path: Column, words: list[str]) -> Column:
     value, low = x["value"], F.lower(x["value"])
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9]", "-"), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
@@ -63,13 +83,25 @@ def _features(x: Column, path: Column) -> Column:
         flag(path.rlike(PATH_BAD)),
         flag(value.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
         _share(value, "[_-]", n),
+        _known(value, words) / n,
+        flag(x["before"].rlike("://[^\\s:/@]{1,64}:$")),
+        flag(value.startswith("-----BEGIN")),
     )
 
 
-def candidates(df: DataFrame, text: str, path: str | None) -> DataFrame:
+def _known(value: Column, words: list[str]) -> Column:
+    """Letters of the value's parts that are words."""
+    parts = F.split(F.regexp_replace(value, "(?<=[a-z])(?=[A-Z])", " "), "[^A-Za-z]+")
+    if not words:
+        return F.lit(0.0)
+    return F.aggregate(F.filter(F.transform(parts, F.lower), lambda w: w.isin(words)), F.lit(0), lambda a, w: a + F.length(w)).cast("double")
+
+
+def candidates(df: DataFrame, text: str, path: str | None, words: list[str]) -> DataFrame:
     """Adds `__found`: the text's candidates in order, each with the gap before it, its context and its features."""
     low = F.lower(text)
-    named = reduce(or_, [F.contains(low, F.lit(x)) for x in HINTS]) & F.col(text).rlike(ASSIGN)
+    named = reduce(or_, [F.contains(low, F.lit(x)) for x in HINTS]) & (F.col(text).rlike(f"{ASSIGN}|{SAYS}|{PEM}"))
+    named = named | (F.contains(F.col(text), F.lit("://")) & F.col(text).rlike(URL))
     numbered = F.col(text).rlike("[0-9]") & F.col(text).rlike(RUN)
     df = df.withColumn("__t", F.when(numbered | named, F.col(text)))
     parts = [F.regexp_extract_all(F.col("__t"), F.lit(CANDIDATE), F.lit(k)) for k in (1, 2, 3, 4)]
@@ -87,7 +119,7 @@ def candidates(df: DataFrame, text: str, path: str | None) -> DataFrame:
         )
 
     out = out.withColumn("__cut", F.transform("__cut", whole))
-    return out.withColumn("__found", F.transform("__cut", lambda x: F.struct(x["gap"], x["value"], _features(x, where).alias("f")))).drop("__cut", "__t")
+    return out.withColumn("__found", F.transform("__cut", lambda x: F.struct(x["gap"], x["value"], _features(x, where, words).alias("f")))).drop("__cut", "__t")
 
 
 # --- the forest -------------------------------------------------------------------------------------------------
@@ -151,15 +183,47 @@ def labelled_findings(n: int = 1_600, seed: int = 11) -> list[tuple[str, str, in
     def digitful(letters: str, k: int) -> str:
         return pick(letters, k - 2) + pick(string.digits, 2)
 
+    sound = lambda: "".join(pick("bcdfghklmnprstvw", 1) + pick("aeiou", 1) for _ in range(rng.randrange(2, 4)))
+
+    def chosen() -> str:
+        """A password that a person might choose."""
+        out = rng.choice((sound, word))() + rng.choice(("", sound()))
+        out = out[:1].upper() + out[1:] if rng.random() < 0.5 else out
+        for plain, digit in (("o", "0"), ("a", "4"), ("e", "3"), ("i", "1")):
+            out = out.replace(plain, digit) if rng.random() < 0.4 else out
+        return f"{out}{rng.choice(('', '!', '#', '-', '$'))}{rng.randrange(10, 9999)}{rng.choice(('', '', pick(alnum, 3)))}"
+
     def secret() -> tuple[str, str]:
+        kind = rng.randrange(10)
+        where = rng.choice(("src/app.py", "config/prod.yaml", "src7", ""))
+        name = rng.choice(("token", "secret", "api_key", "password", "access_key", "credential"))
+        if kind == 0:
+            return f"{rng.choice(('postgres', 'mysql', 'https', 'redis', 'amqp'))}://{word()}:{chosen()}@{word()}.{word()}/x", where
+        if kind == 1:
+            return f"{rng.choice(('my password is', 'the password is', 'password is'))} {chosen()}", where
+        if kind == 2:
+            return f"{rng.choice(('PASSWORD: ', 'password=', 'passwd: '))}{rng.choice((chosen, lambda: sound() + sound() + sound()))()}", where
+        if kind == 3:
+            part = lambda k: pick(alnum + "_-", k)
+            return f"{rng.choice(('', 'token: ', 'Authorization: Bearer '))}eyJ{part(rng.randrange(17, 40))}.{part(rng.randrange(30, 90))}.{part(43)}", where
+        if kind == 4 and rng.random() < 0.4:
+            label = rng.choice(("RSA ", "", "EC "))
+            return f"-----BEGIN {label}PRIVATE KEY-----\n" + "\n".join(pick(alnum + "+/", 64) for _ in range(rng.randrange(2, 6))) + f"\n-----END {label}PRIVATE KEY-----", where
+        if kind == 5:
+            return f"{word().upper()}_{rng.choice(('SECRET_ACCESS_KEY', 'API_TOKEN', 'SECRET'))}={digitful(alnum + '/+', 40)}", where
         case = (lambda s: s.upper()) if rng.random() < 0.15 else (lambda s: s)
         value = rng.choice([lambda: digitful(hexa, rng.choice((32, 40, 64))), lambda: digitful(alnum, rng.randrange(18, 44)), lambda: "AKIA" + digitful(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + digitful(alnum, 36), lambda: "sk-" + digitful(alnum, 32), lambda: digitful(alnum + "+/", 43) + "="])()
-        name = rng.choice(("token", "secret", "api_key", "password", "access_key", "credential"))
         lead = rng.choice((f'{name} = "', f"{name}: ", f"{name}=", f"{name}='", "Authorization: Bearer ", f"the {name} is "))
-        return case(lead) + (value.upper() if case("a") == "A" and set(value) <= set(hexa) else value) + ('"' if lead.endswith('"') else ""), rng.choice(("src/app.py", "config/prod.yaml", "src7", ""))
+        return case(lead) + (value.upper() if case("a") == "A" and set(value) <= set(hexa) else value) + ('"' if lead.endswith('"') else ""), where
 
     def other() -> tuple[str, str]:
-        kind = rng.randrange(9)
+        kind = rng.randrange(12)
+        if kind == 9:
+            return f"{rng.choice(('the password is', 'token is', 'the key is', 'password is'))} {rng.choice(('required', 'optional', 'expired', 'missing', 'incorrect', 'invalid', 'needed here', 'stored safely', 'not shown', 'generated'))}", "docs/readme"
+        if kind == 10:
+            return f"{rng.choice(('https', 'postgres', 'ftp'))}://{rng.choice(('user', 'username', 'name'))}:{rng.choice(('password', 'pass', 'secret', 'changeme', 'xxxxxx', 'your_password'))}@{rng.choice(('host', 'localhost', 'example.com'))}/x", "src/app.py"
+        if kind == 11:
+            return f"{rng.choice(('token', 'password', 'secret', 'api_key'))}{rng.choice(('=', ': '))}{rng.choice(('getenv', 'config', 'self', 'request', 'os.environ', 'settings'))}{rng.choice(('.get', '.value', '[name]', '(name)', '.password', '.token'))}", "src/app.py"
         if kind == 0:
             return pick(string.digits, rng.choice((16, 16, 18, 20))), "src3"
         if kind == 1:
@@ -187,24 +251,27 @@ def labelled_findings(n: int = 1_600, seed: int = 11) -> list[tuple[str, str, in
 
 
 @lru_cache(maxsize=4)
-def _trained(spark: SparkSession) -> list:
-    return fit(spark.createDataFrame(labelled_findings(), "text string, path string, label int"), "text", "path", "label")
+def _trained(spark: SparkSession, words: tuple[str, ...]) -> list:
+    return fit(spark.createDataFrame(labelled_findings(), "text string, path string, label int"), "text", "path", "label", [*words])
 
 
-def fit(findings: DataFrame, text: str = "text", path: str | None = "path", label: str = "label") -> list:
-    """Train the forest from labelled findings: one row each, whose first candidate the label is about. Bounded by the labels."""
-    rows = candidates(findings, text, path).where("size(__found) > 0").select(F.get("__found", F.lit(0))["f"].alias("f"), F.col(label).alias("y")).collect()
+def fit(findings: DataFrame, text: str = "text", path: str | None = "path", label: str = "label", words: list[str] | None = None) -> list:
+    """Train the forest from labelled findings: one row each, whose first candidate the label is about. Bounded by the labels. words is the dictionary."""
+    rows = candidates(findings, text, path, words or []).where("size(__found) > 0").select(F.get("__found", F.lit(0))["f"].alias("f"), F.col(label).alias("y")).collect()
     return train(np.array([r["f"] for r in rows]), np.array([r["y"] for r in rows], dtype=float))
 
 
-def scan(df: DataFrame, text: str = "text", path: str | None = "source", trees: list | None = None, threshold: float = 0.5) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", path: str | None = "source", trees: list | None = None, threshold: float = 0.5, words: list[str] | None = None) -> DataFrame:
     """Adds `findings` (start, value, score, is_secret; start counts characters from 0) and `redacted`, the text with secrets masked.
 
-    Null texts have null findings and stay null; empty texts have none. Null paths count as empty. Texts are scanned whole; repeated
-    rows give equal findings; other columns pass through.
+    words is the dictionary; without it, it is made from df, which is then read twice. Null texts have null findings and stay null; empty texts have none. Null paths count as empty. Texts are scanned whole; repeated
+    rows give equal findings; other columns pass through, own columns `findings` and `redacted` as <name>_input.
     """
-    trees = trees or _trained(df.sparkSession)
-    out = candidates(df, text, path)
+    df, named = make_room(df, "findings", "redacted", "__found", "__ends", "__cut", "__t")
+    text, path = named(text), named(path) if path else None
+    words = common_words(df, text) if words is None else words
+    trees = trees or _trained(df.sparkSession, tuple(words))
+    out = candidates(df, text, path, words)
     out = out.withColumn("__found", F.expr(f"transform(__found, x -> struct(x.gap as gap, x.value as value, {to_sql(trees, 'x.f')} as score))"))
     ends = "aggregate(__found, array(0), (a, x) -> array_append(a, element_at(a, -1) + length(x.gap) + length(x.value)), a -> slice(a, 2, size(a)))"
     out = out.withColumn("__ends", F.expr(f"if(size(__found) > 0, {ends}, array())"))
