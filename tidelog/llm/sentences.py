@@ -9,8 +9,8 @@ globally, and every sentence is removed that a span covers which is not its firs
 position.
 
 Words are runs of other than white space; case and spacing between words do not matter to a span. Null texts and texts
-without words have no sentence; a text shorter than a span loses nothing. A document id that comes twice counts as two documents
-in no set order if the texts differ; equal rows count as copies.
+without words have no sentence; a text shorter than a span loses nothing. Rows that share an id but not the text count as documents of their
+own, in the order of their texts' hashes; equal rows are one document and get equal results. The id must be a number.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
+from .common import make_room, materialize, mix, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
 from .sketch import bucket_bits, passes, repeated_filter
 
 SENTENCES, SPAN_WORDS, LONG_SENTENCE, CUT = 2, 20, 12, 8
@@ -119,9 +119,9 @@ def _fingerprints(piece: pa.RecordBatch, seen: set) -> np.ndarray:
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (h1, h2, id, first, last): the spans that may come more than once, with their sentences' numbers in the document."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    """Rows (h1, h2, id, t, first, last): the spans that may come more than once, with their sentences' numbers in the document of this id and text hash."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("t", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = repeated_filter(rows.select("text"), _fingerprints, parts, 1 << 62)[0]
     bits, shared = bucket_bits(parts), docs.sparkSession.sparkContext.broadcast(words)
@@ -135,33 +135,36 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             a, b, h1, h2 = a[hit], b[hit], h1[hit], h2[hit]
             if len(a):
                 base = np.searchsorted(split.of, split.of[a])
-                ids = piece.column("id").to_numpy(zero_copy_only=False)[split.of[a]]
-                yield pa.record_batch([pa.array(h1), pa.array(h2), pa.array(ids.astype(np.int64)), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], schema=schema)
+                ids, ts = (piece.column(c).to_numpy(zero_copy_only=False)[split.of[a]] for c in ("id", "t"))
+                yield pa.record_batch([pa.array(h1), pa.array(h2), pa.array(ids.astype(np.int64)), pa.array(ts), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], schema=schema)
 
-    return rows.mapInArrow(run, "h1 long, h2 long, id long, first int, last int")
+    return rows.mapInArrow(run, "h1 long, h2 long, id long, t long, first int, last int")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, covered): for each document with spans that are not the first of their kind, those spans' sentences.
+    """Rows (id, t, covered): for each document with spans that are not the first of their kind, those spans' sentences.
 
     Span hashes are counted with partial sums before they are shuffled; the join back to the spans is one that Spark can split where a
     span is hot. A document's own list is bounded by its length.
     """
     all_spans = spans(docs, key, text)
-    place = F.struct("id", "first")
+    place = F.struct("id", "t", "first")
     known = all_spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where("n > 1").drop("n")
     known = materialize(known, "known")  # read from a table, it leaves Spark free to split a hot span's rows
-    found = all_spans.join(known, ["h1", "h2"]).where((F.col("id") != F.col("origin.id")) | (F.col("first") != F.col("origin.first")))
-    return found.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("covered"))
+    found = all_spans.join(known, ["h1", "h2"]).where(place != F.col("origin"))
+    return found.groupBy("id", "t").agg(F.collect_list(F.struct("first", "last")).alias("covered"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `kept_text`, `n_sentences`, `n_removed` and `removed` (character ranges start, end of the removed runs).
 
-    The text between a removed sentence and the next goes with it. Rows with a null id keep their text whole. All other columns pass through.
+    The text between a removed sentence and the next goes with it. Rows with a null id keep their text whole. Other columns pass through;
+    own columns of these names as <name>_input.
     """
-    # copies of one id: the id's list of spans holds for each of them
-    joined = docs.join(repeated(docs, key, text).withColumnsRenamed({"id": "__id", "covered": "__covered"}), F.col(key).cast("long") == F.col("__id"), "left").drop("__id")
+    docs, named = make_room(docs, "kept_text", "n_sentences", "n_removed", "removed", "__id", "__t", "__covered", "__cut")
+    key, text = named(key), named(text)
+    covered = repeated(docs, key, text).withColumnsRenamed({"id": "__id", "t": "__t", "covered": "__covered"})
+    joined = docs.join(covered, (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__t")), "left").drop("__id", "__t")
     names = docs.columns
 
     @F.pandas_udf("kept_text string, n_sentences int, n_removed int, removed array<struct<start:int,end:int>>")
