@@ -6,7 +6,7 @@ pairs (r div b, r mod b) with b about sqrt(n); values that fall on n or above wa
 are then p mod k and p div k, so that anyone who knows n, the seed and a rank can compute both.
 
 Null order values come first; rows equal in every order column are interchangeable; an empty table gives an empty result;
-other columns pass through.
+other columns pass through, own columns named like results as <name>_input.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import make_room, materialize
 
 ROUNDS = 6
 PRIME = (1 << 31) - 1
@@ -73,7 +73,8 @@ def ranked(df: DataFrame, order: list[str], rank: str = "row_no") -> tuple[DataF
 
 def shard(df: DataFrame, shards: int, order: list[str], seed: int = 20) -> DataFrame:
     """Adds row_no, position, shard and slot. Shard sizes differ by one row at most; slots have no gap."""
-    out, n = ranked(df, order)
+    df, named = make_room(df, "row_no", "position", "shard", "slot", "__at", "__part", "__start")
+    out, n = ranked(df, [named(c) for c in order])
     position = permuted(F.col("row_no"), n, seed) if n else F.col("row_no")
     out = out.withColumn("position", position)
     return out.withColumn("shard", (F.col("position") % F.lit(shards)).cast("int")).withColumn("slot", ((F.col("position") - F.col("position") % F.lit(shards)) / F.lit(shards)).cast("long"))
