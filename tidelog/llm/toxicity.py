@@ -2,11 +2,12 @@
 
 Many voters look at a text: fixed lexicons, lexicons of words and stems mined from the labelled rows (cut into
 several voters), writing patterns, and the annotation itself, which may be wrong. Each votes 1, 0 or abstains. A generative
-label model with a hidden true label estimates every voter's accuracy by expectation maximisation, and the voters'
-correlations given the label; a voter that repeats others counts for less. A linear classifier over words and stems
+label model with a hidden true label estimates every voter's accuracy and its correlations with other voters by expectation
+maximisation; a voter that repeats another adds no evidence. A linear classifier over words and stems
 learns the posterior labels, and alone scores the documents.
 
-The fit reads at most about DOCS_PER_CLASS labelled rows of each class, chosen by hash, weighted to the classes' true shares.
+The fit reads at most about DOCS_PER_CLASS labelled rows of each class, chosen by hash, weighted to the classes' true shares. The
+classifier has as many as FEATURES of the sample's words and stems; scores read all words of a text.
 """
 
 from __future__ import annotations
@@ -17,17 +18,21 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DOCS_PER_CLASS = 3_000
+from .common import make_room, string_chunks
+
+DOCS_PER_CLASS = 4_000
 LEAST_ROWS = 3
 FEATURES = 4_000
 MINED_VOTERS = 6
+#: Nats of information that correlated voters share at least, given the label.
+LEAST_SHARED = 0.05
 STEMS = range(4, 9)
 RUNS = re.compile(r"[^\W\d_]+")
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 #: Common English insults, and phrases that threaten or dismiss.
 INSULTS = ("idiot", "moron", "stupid", "dumb", "fool", "loser", "scum", "trash", "clown", "jerk", "imbecile", "pathetic", "worthless", "disgusting")
 HOSTILE = ("shut up", "go to hell", "drop dead", "hate you", "kill you", "get lost", "you people", "piece of")
@@ -65,34 +70,64 @@ def pattern_votes(text: str | None) -> list[int]:
 
 
 class LabelModel:
-    """votes: rows by voters, in {-1, 0, 1}."""
+    """The generative model: a hidden label, and votes in {-1, 0, 1} that depend on it and on each other along a tree.
+
+    Every voter has a table of how it votes given the label (its accuracy); a voter that is correlated with another has
+    a table given the label and that voter's vote instead, so that what it repeats is no evidence. The tree is the
+    one of most mutual information given the label, without edges of less than LEAST_SHARED. Tables, tree and labels are estimated by
+    expectation maximisation.
+    """
 
     def fit(self, votes: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int = 25) -> np.ndarray:
-        n, m = votes.shape
-        cast = [(votes == v).astype(float) for v in (-1, 0, 1)]
-        q, self.trust = start.copy(), np.ones(m)
+        m = votes.shape[1]
+        seen = votes + 1
+        hot = np.stack([(seen == v).astype(float) for v in range(3)])  # vote, row, voter
+        q, self.parent = start.copy(), np.full(m, -1)
         for k in range(rounds):
-            p1, p0 = weight * q, weight * (1 - q)
-            self.share = (p1.sum() + 1) / (weight.sum() + 2)
-            # a voter's accuracy: how often it casts each vote, given the label
-            given = [np.stack([(c.T @ p + 0.5) / (p.sum() + 1.5) for c in cast]) for p in (p0, p1)]
-            logs = sum(c @ (self.trust[:, None] * (np.log(given[1][v]) - np.log(given[0][v]))[:, None]) for v, c in enumerate(cast))[:, 0]
-            q = 1 / (1 + np.exp(-np.clip(logs + math.log(self.share / (1 - self.share)), -30, 30)))
-            if k >= 2:
-                self._correlate(cast[2] - cast[1], q, weight)
-        self.given = given
+            p = weight * (1 - q), weight * q
+            self.share = (p[1].sum() + 1) / (weight.sum() + 2)
+            self.given = [np.stack([(c.T @ x + 0.5) / (x.sum() + 1.5) for c in hot]) for x in p]
+            if k % 4 == 0:
+                self._tree(hot, p)
+            logs = np.full(len(q), math.log(self.share / (1 - self.share)))
+            self.tables = []
+            for j in range(m):
+                up = self.parent[j]
+                table = [self._table(hot, x, y, j, up) for y, x in enumerate(p)]
+                self.tables.append(table)
+                ratio = np.log(table[1]) - np.log(table[0])
+                logs += ratio[seen[:, j]] if up < 0 else ratio[seen[:, up], seen[:, j]]
+            q = 1 / (1 + np.exp(-np.clip(logs, -30, 30)))
         return q
 
-    def _correlate(self, signed: np.ndarray, q: np.ndarray, weight: np.ndarray) -> None:
-        """Correlation of two voters' votes within a label; trust falls with what a voter shares with others."""
-        total = np.zeros((signed.shape[1],) * 2)
-        for p in (weight * q, weight * (1 - q)):
-            mean = (p @ signed) / max(p.sum(), 1e-9)
-            total += (signed - mean).T @ ((signed - mean) * p[:, None])
-        sd = np.sqrt(np.maximum(np.diag(total), 1e-9))
-        self.correlation = np.clip(total / np.outer(sd, sd), -1, 1)
-        np.fill_diagonal(self.correlation, 0)
-        self.trust = 1 / (1 + np.clip(self.correlation, 0, None).sum(axis=1))
+    def _table(self, hot: np.ndarray, p: np.ndarray, y: int, j: int, up: int) -> np.ndarray:
+        """How voter j votes, given the label and (in rows) the vote of the voter above it."""
+        own = self.given[y][:, j]
+        if up < 0:
+            return own
+        both = np.einsum("an,bn,n->ab", hot[:, :, up], hot[:, :, j], p, optimize=True)
+        return (both + own) / (both.sum(axis=1, keepdims=True) + 1)
+
+    def _tree(self, hot: np.ndarray, p: tuple[np.ndarray, np.ndarray]) -> None:
+        """Voters' mutual information given the label, and the spanning forest of most of it."""
+        m, total = hot.shape[2], sum(x.sum() for x in p)
+        self.shared = np.zeros((m, m))
+        for y, x in enumerate(p):
+            both = np.einsum("ani,bnj->ijab", hot * x[None, :, None], hot, optimize=True) / max(x.sum(), 1e-9)
+            alone = self.given[y].T  # voter, vote
+            apart = alone[:, None, :, None] * alone[None, :, None, :]
+            self.shared += x.sum() / total * np.where(both > 0, both * np.log(np.maximum(both, 1e-12) / apart), 0).sum(axis=(2, 3))
+        np.fill_diagonal(self.shared, 0)
+        self.parent = np.full(m, -1)
+        inside = np.zeros(m, bool)
+        for _ in range(m):
+            reach = np.where(inside[:, None] & ~inside[None, :], self.shared, -1)
+            i, j = np.unravel_index(int(reach.argmax()), reach.shape)
+            if reach[i, j] >= LEAST_SHARED:
+                self.parent[j] = i
+            else:
+                j = int(np.flatnonzero(~inside)[0])
+            inside[j] = True
 
 
 class Bags:
@@ -213,13 +248,15 @@ def score(df: DataFrame, model: Linear, column: str = "text") -> DataFrame:
     """Adds the column `toxicity`, 0 to 1.
 
     Null and empty texts get the score of a text without words. Texts are read whole; repeated rows get equal scores;
-    other columns pass through. If there was nothing to learn from, every score is 0.5 or less.
+    other columns pass through, an own column `toxicity` as `toxicity_input`. If there was nothing to learn from, every score is 0.5 or less.
     """
+    df, named = make_room(df, "toxicity")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([shared.value.score(t) for t in texts], dtype=float)
+            for piece in string_chunks(texts):
+                yield pa.array([shared.value.score(t) for t in piece.to_pylist()], pa.float64())
 
-    return df.withColumn("toxicity", run(F.col(column)))
+    return df.withColumn("toxicity", run(F.col(named(column))))
