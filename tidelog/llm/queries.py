@@ -122,4 +122,19 @@ ORACLES: dict[str, str] = {
               from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
         r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op8_suffixes": """
+        with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        parts as (select doc_id, c, substr(h, 1024 * c + 1, 1122) as p from (select doc_id, h, unnest(range(0, len(h) // 1024 + 1)) as c from t) x),
+        strings as (select doc_id, 512 * c + k as i, substr(p, 2 * k + 1, 100) as s from (select *, unnest(range(0, least(512, len(p) // 2 - 49))) as k from parts where len(p) >= 100) x),
+        firsts as (select s, min(doc_id) as d from strings group by s having count(*) > 1),
+        covered as (select distinct doc_id, i from strings join firsts using (s) where d < doc_id),
+        steps as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh from covered),
+        runs as (select doc_id, min(i) as a, max(i) + 50 as b from (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from steps) r group by doc_id, run),
+        gaps as (select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as e from runs),
+        pieces as (select t.doc_id, e, substr(h, 2 * e + 1, 2 * (a - e)) as x from gaps join t using (doc_id)
+                   union all select t.doc_id, e, substr(h, 2 * e + 1) from t join (select doc_id, max(b) as e from runs group by doc_id) m using (doc_id)),
+        kept as (select doc_id, string_agg(x, '' order by e) as x from pieces group by doc_id),
+        sums as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from runs group by doc_id)
+        select t.doc_id, len(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(x, h))) as kept_sha256
+        from t left join sums using (doc_id) left join kept using (doc_id)""",
 }
