@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import encode
+from tidelog.llm.common import small_batches
 from tidelog.llm.decontamination import decontaminate
 from tidelog.llm.jaccard import join
 from tidelog.llm.langid import UNKNOWN, fit, identify
@@ -23,12 +24,14 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or with no language of LEAST_SCORE; tables are learned from docs' own lang."""
+    small_batches(spark)
     named = identify(docs, fit(docs))
     return named.where((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of 5-gram similarity 0.8 or more; rows with a null id stay."""
+    small_batches(spark)
     groups = join(docs, width=5, num=80, den=100)
     dropped = groups.where("doc_id != component_id").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
@@ -54,6 +57,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts as token ids (little-endian 32-bit integers)."""
+    small_batches(spark)
     out = encode(docs.select(*COLUMNS), vocabulary())
     return out.select("doc_id", "lang", "source", "n_chars", "bpe.n_tokens", "bpe.ids", "bpe.ids_sha256", "bpe.decoded_sha256")
 
