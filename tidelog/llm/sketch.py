@@ -34,28 +34,44 @@ def passes(words: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
     return (words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
+def _twice(fp: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Sorted fp, of each pair (fp, beside) two at most."""
+    order = np.lexsort((beside, fp))
+    fp, beside = fp[order], beside[order]
+    third = np.zeros(len(fp), bool)
+    third[2:] = (fp[2:] == fp[:-2]) & (beside[2:] == beside[:-2])
+    return fp[~third]
+
+
 def repeated_filter(docs: DataFrame, fingerprints: Callable[[pa.RecordBatch, set], np.ndarray], parts: int, hot_from: int) -> tuple[np.ndarray, np.ndarray]:
     """The filter's words, and the shortened fingerprints seen hot_from times or more (the commonest HOT_MOST, about).
 
-    fingerprints gets a piece of docs and a set that lives as long as the task, and gives 64-bit numbers.
+    fingerprints gets a piece of docs and a set that lives as long as the task, and gives 64-bit numbers; or a pair of arrays, numbers and
+    what stands with each: then equal pairs that stand together in a task are sent twice at most, which is enough to be repeated.
     """
     bits = bucket_bits(parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         held: list[np.ndarray] = []
+        beside: list[np.ndarray] = []
 
         def packed() -> pa.RecordBatch:
-            fp = np.sort(shortened(np.concatenate(held), bits)) if held else np.zeros(0, np.uint64)
+            fp = shortened(np.concatenate(held), bits) if held else np.zeros(0, np.uint64)
+            fp = _twice(fp, np.concatenate(beside)) if beside else np.sort(fp)
             held.clear()
+            beside.clear()
             edges = np.searchsorted(fp >> np.uint64(LOW_BITS), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
             five = np.ascontiguousarray(fp.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
             filled = [(b, five[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges, edges[1:])) if x < y]
             return pa.record_batch([pa.array([b for b, _ in filled], pa.int32()), pa.array([x for _, x in filled], pa.binary())], names=["bucket", "blob"])
 
         for piece in text_chunks(batches):
-            held.append(fingerprints(piece, seen))
-            if sum(map(len, held)) > 1_000_000:
+            found = fingerprints(piece, seen)
+            held.append(found[0] if isinstance(found, tuple) else found)
+            if isinstance(found, tuple):
+                beside.append(found[1])
+            if sum(map(len, held)) > 500_000:
                 yield packed()
         yield packed()
 

@@ -10,12 +10,13 @@ Sorting every suffix would move many times the input. Only suffixes that can hav
    blind trie for each group that is still tied. Equal texts meet in one leaf, whose smallest id keeps them. Where
    different texts share an anchor, their LENGTH-byte suffixes are sorted in the same way.
 
-Fingerprints of many occurrences (hot ones) send each LENGTH-byte suffix under its own hash instead, and every task first merges what it has
-of a text, so that no task gets a hot group whole. Copies of a whole document are found by their hash; a task
-scans one again only if its id is smaller than those it has had, so that the copy of smallest id, which keeps the text, is always scanned.
+A task first meets its own equal texts, byte by byte, and sends the one of smallest id. Fingerprints of many different texts (hot ones) send
+each LENGTH-byte suffix under its own hash instead, so that no task gets a hot group whole. Copies of a whole document are found by their hash; a task
+scans one again only if its id is smaller than those it has had, and copies that a filter knows are not scanned at all; the copy of
+smallest id, which keeps the text, is always scanned.
 
 Null texts are empty; texts shorter than LENGTH lose nothing; a row with a null id neither loses bytes nor takes any; rows that share an
-id are no smaller than each other.
+id are no smaller than each other, and are told apart by 32 bits of their texts' hashes.
 """
 
 from __future__ import annotations
@@ -29,12 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_words, in_filter, materialize, mix, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
+from .common import CHUNK, materialize, mix, passing, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
 from .sketch import bucket_bits, passes, repeated_filter, shortened
 
 LENGTH, K, SHALLOW = 50, 20, 16
+#: Bytes of the longest context: LENGTH - K on either side of an anchor.
+WIDTH = 2 * LENGTH - K
 HOT = 5_000
-ROWS_AT_ONCE = 100_000
+#: Buckets for each partition of the exchange; a task holds one bucket at a time.
+PER_PART = 16
+#: Suffixes of whole groups that are sorted at once.
+SUFFIXES_AT_ONCE = 100_000
+#: A task meets its own equal contexts in so many bytes of text, or so many contexts, at once.
+TEXT_AT_ONCE, HELD_ROWS, SENT_AT_ONCE = 12 << 20, 300_000, 25_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -51,15 +59,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     _, downs = powers(n + 1)
     h = mix((sums[K:] - sums[:-K]) * downs[: n - K + 1])
     place = np.uint64((1 << 26) - 1)
-    if n > int(place):  # one text of over 64 MB: in overlapping pieces
-        step = int(place) // 2
-        out = []
-        for a in range(0, n - LENGTH + 1, step):
-            b = min(n, a + step + LENGTH - 1)
-            cut = np.clip(offsets, a, b) - a
-            fp, row, lo, hi = anchors(data[a:b], cut)
-            out.append((fp, row, lo + a, hi + a))
-        return tuple(map(np.concatenate, zip(*out)))
     v = (h & ~place) | np.arange(len(h), dtype=np.uint64)
     blocks = np.concatenate([v, np.full(-len(v) % width, _TOP)]).reshape(-1, width)
     starts = n - LENGTH + 1
@@ -77,6 +76,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     return h[spot[a]], row[i[a]], i[a], i[np.r_[a[1:] - 1, len(i) - 1]]
 
 
+def _segments(piece: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, row of each part, its place in the text): texts of more than CHUNK bytes come in parts of their own, which overlap so that each string lies in one."""
+    data, offsets = text_bytes(piece.column("text"))
+    size = np.diff(offsets)
+    if size.max(initial=0) <= CHUNK:
+        yield data, offsets, np.arange(len(size)), np.zeros(len(size), np.int64)
+        return
+    for k, (x, n) in enumerate(zip(offsets.tolist(), size.tolist())):
+        for a in range(0, max(n - LENGTH + 1, 1), CHUNK):
+            b = min(n, a + CHUNK + LENGTH - 1)
+            yield data[x + a : x + b], np.array([0, b - a]), np.array([k]), np.array([a])
+
+
 def _keys(piece: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
     """Row and digest of each text of LENGTH bytes or more."""
     for k, text in enumerate(piece.column("text")):
@@ -180,139 +192,252 @@ def deep_shallow(group: np.ndarray, data: np.ndarray, start: np.ndarray, length:
 # --- passes over the documents --------------------------------------------------------------------------------------
 
 
-def _fingerprints(piece: pa.RecordBatch, seen: set[bytes]) -> np.ndarray:
+def _fingerprints(piece: pa.RecordBatch, seen: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors' fingerprints, and the hashes of the texts around them."""
     keep = []
     for k, key in _keys(piece):  # any copy has its text's fingerprints
         if key not in seen:
             seen.add(key)
             keep.append(k)
-    data, offsets = text_bytes(piece.take(pa.array(keep, pa.int64())).column("text"))
-    return anchors(data, offsets)[0]
-
-
-ROWS = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("doc", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("bytes", pa.binary())])
-SENT = "key long, kind byte, doc long, t long, start int, stop int, bytes binary"
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    for data, offsets, _, _ in _segments(piece.take(pa.array(keep, pa.int64()))):
+        fp, row, first, last = anchors(data, offsets)
+        order = np.lexsort((row, fp))
+        once = np.ones(len(fp), bool)  # what comes twice in one document alone takes nothing from it
+        once[1:] = (fp[order][1:] != fp[order][:-1]) | (row[order][1:] != row[order][:-1])
+        i = order[once]
+        found.append((fp[i], span_hashes(prefix_hashes(data), first[i], last[i] + LENGTH)))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+SENT = "bucket int, kind byte, rows int, size long, blob binary"
+ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("rows", pa.int32()), ("size", pa.int64()), ("blob", pa.binary())])
 CONTEXT, WINDOW, DONE = 0, 1, 2
+_LOW = np.uint64((1 << 40) - 1)
+
+
+class Rows:
+    """Strings by key and document: a text of `size` bytes (one after the other in `data`), and the `count` places `start` where the document has it."""
+
+    #: Kinds of the columns in a blob; keys are shortened to 5 bytes, beside the bucket.
+    KINDS = (("key", "<u8"), ("doc", "<i8"), ("t", "<i4"), ("size", "u1"), ("count", "<u4"))
+
+    def __init__(self, key, doc, t, size, count, start, data):
+        self.key, self.doc, self.t, self.size, self.count, self.start, self.data = key, doc, t, size, count, start, data
+
+    def pack(self) -> tuple[int, bytes]:
+        five = np.ascontiguousarray((self.key & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        rest = [getattr(self, name).astype(kind).tobytes() for name, kind in self.KINDS[1:]]
+        raw = b"".join([five.tobytes(), *rest, self.start.astype("<i4").tobytes(), self.data.tobytes()])
+        return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+    @classmethod
+    def unpack(cls, n: int, size: int, blob: bytes) -> Rows:
+        raw, at, found = np.frombuffer(pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True), np.uint8), 5 * n, []
+        key = np.zeros((n, 8), np.uint8)
+        key[:, :5] = raw[:at].reshape(-1, 5)
+        for _, kind in cls.KINDS[1:]:
+            width = np.dtype(kind).itemsize * n
+            found.append(raw[at : at + width].copy().view(kind))
+            at += width
+        places = 4 * int(found[3].sum())
+        return cls(key.view("<u8").ravel(), found[0].astype(np.int64), found[1], found[2].astype(np.int64), found[3].astype(np.int64), raw[at : at + places].copy().view("<i4").astype(np.int64), raw[at + places :])
+
+
+def _packed(bits: int, kind: int, rows: Rows, at: np.ndarray | None, data: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key as one blob for each bucket; at: where a row's text begins in data."""
+    edges = np.searchsorted(rows.key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    places = np.r_[0, np.cumsum(rows.count)]
+    out = []
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        x, y = int(edges[b]), int(edges[b + 1])
+        size = rows.size[x:y].astype(np.int64)
+        ends = np.cumsum(size)
+        text = data[np.repeat(at[x:y] - (ends - size), size) + np.arange(int(ends[-1]))] if data is not None else np.zeros(0, np.uint8)
+        part = Rows(rows.key[x:y], rows.doc[x:y], rows.t[x:y], rows.size[x:y], rows.count[x:y], rows.start[places[x] : places[y]], text)
+        out.append((b, kind, y - x, *part.pack()))
+        if len(out) >= 64:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), ROWS)], schema=ROWS)
+            out = []
+    if out:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), ROWS)], schema=ROWS)
+
+
+class Held:
+    """Contexts of a task: equal ones under one key are met here already, so that one of each, of the smallest document, is sent with its bytes."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.text: list[np.ndarray] = []
+        self.size = self.rows = 0
+        self.parts: dict[int, list[tuple[np.ndarray, ...]]] = {CONTEXT: [], WINDOW: []}
+
+    def add(self, kind: int, *columns: np.ndarray) -> None:
+        """columns: key, hash of the bytes, document, its text's hash, start in the document, start in the bytes that close() gets, length."""
+        key, text, doc, t, start, at, size = columns
+        self.parts[kind].append((key, text, doc, t, *(x.astype(np.int32) for x in (start, at + self.size, size))))
+        self.rows += len(key)
+
+    def close(self, data: np.ndarray) -> None:
+        """data holds what add() pointed to."""
+        self.text.append(data)
+        self.size += len(data)
+
+    def merged(self) -> Iterator[pa.RecordBatch]:
+        data = np.concatenate([*self.text, np.zeros(WIDTH, np.uint8)])
+        done = []
+        for kind, parts in self.parts.items():
+            if not parts:
+                continue
+            key, text, doc, t, start, at, size = map(np.concatenate, zip(*parts))
+            parts.clear()
+            order = np.lexsort((start, t, doc, text, key))
+            key, text, doc, t, start, at, size = (x[order] for x in (key, text, doc, t, start, at, size))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            equal = np.zeros(len(key), bool)
+            equal[~new] = _equal(data, at[~new], size[~new], at[first[~new]], size[first[~new]])
+            late = equal & (doc > doc[first])
+            done.append((doc[late], t[late], start[late], start[late] + size[late]))
+            again = equal & (doc == doc[first]) & (t == t[first])  # the first's document has it here too
+            row = ~late & ~again
+            i, kept = np.flatnonzero(row), start[~late]
+            count = np.diff(np.r_[np.flatnonzero(row[~late]), len(kept)])
+            yield from _packed(self.bits, kind, Rows(key[i], doc[i], t[i], size[i], count, kept, None), at[i].astype(np.int64), data)
+        if done:
+            doc, t, start, stop = _joined(*map(np.concatenate, zip(*done)))
+            key = mix(doc.astype(np.uint64))
+            order = np.argsort(key)
+            key, doc, t, start, stop = (x[order] for x in (key, doc, t, start, stop))
+            both = np.stack([start, stop], axis=1).ravel()
+            yield from _packed(self.bits, DONE, Rows(key, doc, t, np.zeros(len(doc)), np.full(len(doc), 2), both, None), None, None)
+        self.__init__(self.bits)
+
+
+def _equal(data: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the bytes data[a : a + n] and data[b : b + m] are equal."""
+    out, views = n == m, np.lib.stride_tricks.sliding_window_view(data, WIDTH)
+    for k in range(0, len(a), SENT_AT_ONCE):
+        s = slice(k, k + SENT_AT_ONCE)
+        out[s] &= ((views[a[s]] == views[b[s]]) | (np.arange(WIDTH) >= n[s, None])).all(axis=1)
+    return out
 
 
 def _candidates(docs: DataFrame, words: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
-    bits = bucket_bits(parts)
+    """Rows (bucket, kind, rows, size, blob): what the documents hold under repeated fingerprints, packed by bucket; there are PER_PART buckets for each partition, about."""
+    bits, out_bits = bucket_bits(parts), max(1, (parts * PER_PART - 1).bit_length())
     shared = docs.sparkSession.sparkContext.broadcast((words, hot))
 
-    def rows(key, kind, doc, t, start, stop, data=None, at=None) -> pa.RecordBatch:
-        n = len(key)
-        if data is None:
-            text = pa.nulls(n, pa.binary())
-        else:
-            size = (stop - start).astype(np.int64)
-            ends = np.cumsum(size)
-            take = np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if n else 0)
-            text = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes()), pa.py_buffer(data[take].tobytes())])
-        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.full(n, kind, np.int8)), pa.array(doc), pa.array(t), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), text], schema=ROWS)
-
-    def merged(key, other, doc):
-        """Order in which equal (key, other) stand together, smallest document first; and a mark at the first of each."""
-        order = np.lexsort((doc, other, key))
-        k, o = key[order], other[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-        return order, new
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hot = shared.value
         seen: dict[bytes, int] = {}
+        held = Held(out_bits)
         for piece in text_chunks(batches):
             piece = _unseen(piece, seen)
-            data, offsets = text_bytes(piece.column("text"))
-            fp, row, first, last = anchors(data, offsets)
-            hit = passes(known, fp, bits)
-            fp, row, first, last = fp[hit], row[hit], first[hit], last[hit]
-            if not len(fp):
-                continue
             ids, ts = piece.column("id").to_numpy(), piece.column("t").to_numpy()
-            sums = prefix_hashes(data)
-            named = shortened(fp, bits)
-            is_hot = np.isin(named, hot) if len(hot) else np.zeros(len(fp), bool)
-            for kind in (CONTEXT, WINDOW):
-                pick = is_hot if kind == WINDOW else ~is_hot
-                if not pick.any():
+            for data, offsets, rows, base in _segments(piece):
+                fp, row, first, last = anchors(data, offsets)
+                hit = passes(known, fp, bits)
+                fp, row, first, last = fp[hit], row[hit], first[hit], last[hit]
+                if not len(fp):
                     continue
-                r, a, b = row[pick], first[pick], last[pick] + LENGTH
-                if kind == WINDOW:
-                    many = (last - first + 1)[pick]
-                    a = np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    r, b = np.repeat(r, many), a + LENGTH
-                text = span_hashes(sums, a, b)
-                key = text if kind == WINDOW else fp[pick]
-                order, new = merged(key, text, ids[r])
-                r, a, b, key = r[order], a[order], b[order], key[order]
-                doc, t, base = ids[r], ts[r], offsets[r]
-                keeper = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-                late = doc > keeper
-                yield rows(key[~late], kind, doc[~late], t[~late], (a - base)[~late], (b - base)[~late], data, a[~late])
-                if late.any():  # a smaller document in this very task has the same text there
-                    yield rows(mix(doc[late].astype(np.uint64)), DONE, doc[late], t[late], (a - base)[late], (b - base)[late])
+                sums = prefix_hashes(data)
+                named = shortened(fp, bits)
+                is_hot = np.isin(named, hot) if len(hot) else np.zeros(len(fp), bool)
+                for kind in (CONTEXT, WINDOW):
+                    pick = is_hot if kind == WINDOW else ~is_hot
+                    if not pick.any():
+                        continue
+                    r, a, b = row[pick], first[pick], last[pick] + LENGTH
+                    if kind == WINDOW:
+                        many = (last - first + 1)[pick]
+                        a = np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        r, b = np.repeat(r, many), a + LENGTH
+                    text = span_hashes(sums, a, b)
+                    held.add(kind, text if kind == WINDOW else fp[pick], text, ids[rows[r]], ts[rows[r]], a - offsets[r] + base[r], a, b - a)
+                held.close(data)
+                if held.size >= TEXT_AT_ONCE or held.rows >= HELD_ROWS:
+                    yield from held.merged()
+        yield from held.merged()
 
     return docs.where("id is not null").mapInArrow(run, SENT)
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: ranges (doc, t, start, stop) that a smaller document has too."""
-    held: list[pa.RecordBatch] = []
+    """Blobs sorted by bucket: ranges (doc, t, start, stop) that a smaller document has too."""
+    held: list[tuple] = []
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= ROWS_AT_ONCE:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            key = whole.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            if cut:
-                yield _resolved(whole.slice(0, cut))
-            held = [whole.slice(cut)]
-    if held and sum(b.num_rows for b in held):
-        yield _resolved(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-
-def _resolved(batch: pa.RecordBatch) -> pa.RecordBatch:
-    kind = batch.column("kind").to_numpy()
-    doc, t = batch.column("doc").to_numpy(), batch.column("t").to_numpy()
-    start, stop = batch.column("start").to_numpy().astype(np.int64), batch.column("stop").to_numpy().astype(np.int64)
-    key = batch.column("key").to_numpy()
-    done = np.flatnonzero(kind == DONE)
-    out = [(doc[done], t[done], start[done], stop[done])]
-    live = np.flatnonzero(kind != DONE)
-    if len(live):
-        _, many = np.unique(key[live], return_counts=True)
-        live = live[np.repeat(many, many) > 1]  # sorted by key
-    if len(live):
-        data, at = text_bytes(batch.column("bytes").take(pa.array(live)))
-        size = np.diff(at)
-        group = key[live]
-        order, new = deep_shallow(group, data, at[:-1], size)
-        _, late = _smallest(doc[live], order, new)
-        out.append(tuple(x[live][order][late] for x in (doc, t, start, stop)))
-        # where an anchor has several texts, those of each text's smallest id go on to the suffixes
-        one, holder = order[new], order[~late]
-        g, several = np.unique(group[one], return_counts=True)
-        holder = holder[several[np.searchsorted(g, group[holder])] > 1]
-        holder = holder[kind[live][holder] == CONTEXT]
-        if len(holder):
-            n = size[holder] - LENGTH + 1
-            own = np.repeat(holder, n)
-            shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            order, new = deep_shallow(group[own], data, at[own] + shift, np.full(len(own), LENGTH))
-            _, late = _smallest(doc[live][own], order, new)
-            lost = order[late]
-            docs, ts, starts = doc[live][own][lost], t[live][own][lost], (start[live][own] + shift)[lost]
-            out.append((docs, ts, starts, starts + LENGTH))
-    doc, t, start, stop = map(np.concatenate, zip(*out))
-    doc, t, start, stop = _joined(doc, t, start, stop)
-    return pa.record_batch([pa.array(doc), pa.array(t), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["doc", "t", "start", "stop"])
-
-
-def _smallest(doc: np.ndarray, order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for row in zip(*(batch.column(f.name).to_pylist() for f in ROWS)):
+            if held and row[0] != held[0][0]:
+                yield _resolved(held)
+                held = []
+            held.append(row)
+    if held:
+        yield _resolved(held)
+
+
+def _resolved(blobs: list[tuple]) -> pa.RecordBatch:
+    none = np.zeros(0, np.int64)
+    out = [(none, none, none, none)]
+    for kind in (CONTEXT, WINDOW, DONE):
+        parts = [Rows.unpack(*x[2:]) for x in blobs if x[1] == kind]
+        if parts:
+            rows = Rows(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("key", "doc", "t", "size", "count", "start", "data")))
+            out += [(rows.doc, rows.t, rows.start[::2], rows.start[1::2])] if kind == DONE else _taken(rows, kind)
+    doc, t, start, stop = _joined(*(np.concatenate(x).astype(np.int64) for x in zip(*out)))
+    return pa.record_batch([pa.array(doc), pa.array(t.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["doc", "t", "start", "stop"])
+
+
+def _taken(rows: Rows, kind: int) -> list[tuple[np.ndarray, ...]]:
+    """What smaller documents take of the rows' documents, by sorting the texts and then their suffixes."""
+    out = []
+    _, group, many = np.unique(rows.key, return_inverse=True, return_counts=True)
+    live = np.flatnonzero(many[group] > 1)
+    if not len(live):
+        return out
+    group, doc, size = group[live], rows.doc[live], rows.size[live]
+    at = (np.cumsum(rows.size) - rows.size)[live]
+    place = np.r_[0, np.cumsum(rows.count)]
+
+    def ranges(row: np.ndarray, shift: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """A part of live rows' texts, at all places where their documents have them."""
+        row = live[row]
+        n = rows.count[row]
+        start = rows.start[np.repeat(place[row], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)] + np.repeat(shift, n)
+        return np.repeat(rows.doc[row], n), np.repeat(rows.t[row], n), start, start + np.repeat(length, n)
+
+    order, new = deep_shallow(group, rows.data, at, size)
+    late = _late(doc, order, new)
+    lost = order[late]
+    out.append(ranges(lost, np.zeros(len(lost), np.int64), size[lost]))
+    if kind == WINDOW:
+        return out
+    # where an anchor has several texts, those of each text's smallest id go on to the suffixes
+    one, holder = order[new], order[~late]
+    g, several = np.unique(group[one], return_counts=True)
+    holder = holder[several[np.searchsorted(g, group[holder])] > 1]
+    holder = holder[np.argsort(group[holder], kind="stable")]
+    before = np.cumsum(size[holder] - LENGTH + 1) - (size[holder] - LENGTH + 1)
+    opens = np.r_[True, np.diff(group[holder]) != 0][: len(holder)]
+    piece = np.maximum.accumulate(np.where(opens, before, 0)) // SUFFIXES_AT_ONCE  # whole groups
+    for part in np.split(holder, np.flatnonzero(np.diff(piece)) + 1):
+        n = size[part] - LENGTH + 1
+        own = np.repeat(part, n)
+        shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        order, new = deep_shallow(group[own], rows.data, at[own] + shift, np.full(len(own), LENGTH))
+        lost = order[_late(doc[own], order, new)]
+        out.append(ranges(own[lost], shift[lost], np.full(len(lost), LENGTH)))
+    return out
+
+
+def _late(doc: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Marks, in this order, of strings that a smaller document has too."""
+    if not len(order):
+        return np.zeros(0, bool)
     firsts = np.flatnonzero(new)
     least = np.repeat(np.minimum.reduceat(doc[order], firsts), np.diff(np.r_[firsts, len(order)]))
-    return least, doc[order] > least
+    return doc[order] > least
 
 
 def _joined(doc, t, start, stop):
@@ -336,31 +461,30 @@ def repeated(docs: DataFrame, hot_from: int = HOT) -> DataFrame:
     """Rows (doc, t, ranges) for docs (id, t, text), t a hash of the text; copies of whole texts inside one task are left to dedup()."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words, hot = repeated_filter(docs.where("id is not null").select("text"), _fingerprints, parts, hot_from)
-    sent = _candidates(docs, words, hot, parts).repartition(parts, "key").sortWithinPartitions("key")
-    found = sent.mapInArrow(_resolve, "doc long, t long, start int, stop int")
+    sent = _candidates(docs, words, hot, parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = sent.mapInArrow(_resolve, "doc long, t int, start int, stop int")
     return found.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_from: int = HOT) -> DataFrame:
-    """Rows (key, n_bytes, n_removed, n_spans, removed, kept, kept_sha256), one for each of docs.
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_from: int = HOT, digests_only: bool = False) -> DataFrame:
+    """Rows (key, n_bytes, n_removed, n_spans, removed, kept, kept_sha256), one for each of docs; other columns are not read.
 
-    removed holds the byte ranges (start, stop); kept, the remaining bytes, is null where nothing was removed.
+    removed holds the byte ranges (start, stop); kept, the remaining bytes, is null where nothing was removed, and everywhere with
+    digests_only. key must be a number.
     """
     docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumn("t", F.xxhash64("text"))
+    docs = docs.withColumn("t", F.hash("text"))
     about = docs.select("id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     origin = about.groupBy("sha").agg(F.min("id").alias("origin"), F.count("*").alias("n")).where("n > 1").select("sha", "origin")
     about = about.join(origin, "sha", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("origin"), F.lit(False)) & (F.col("n_bytes") >= LENGTH))
-    ranges = materialize(repeated(docs, hot_from), "ranges")
-
-    shared = docs.sparkSession.sparkContext.broadcast(filter_words(ranges.select(F.col("doc").alias("id"))))
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_filter(shared.value, batch.column("h").to_numpy()))).select(["id", "t", "text"])
+    about = materialize(about.drop("origin"), "about")
 
-    hashed = docs.where("id is not null").select("id", "t", "text", F.xxhash64("id").alias("h"))
-    texts = hashed.mapInArrow(sift, "id long, t long, text string")
+    # copies go whole, and need not be scanned: what they hold, their origin has. A row is left out if it passes the filter of the copies
+    # and not that of the other rows that pass it, so that no other row is ever left out.
+    copies, others = about.where("copy"), about.where("not copy")
+    mistaken = passing(others, copies, ["id", "t"], "maybe").where("maybe")
+    flagged = passing(passing(docs, copies, ["id", "t"], "maybe"), mistaken, ["id", "t"], "mistaken")
+    ranges = materialize(repeated(flagged.where("id is not null and (not maybe or mistaken)").select("id", "t", "text"), hot_from), "ranges")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -375,12 +499,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_from: in
                     kept.append(raw[at:x])
                     at = y
                 kept = b"".join([*kept, raw[at:]])
-                rows.append((len(raw) - len(kept), [{"start": x, "stop": y} for x, y in zip(a.tolist(), b.tolist())], kept, hashlib.sha256(kept).hexdigest()))
+                rows.append((len(raw) - len(kept), [{"start": x, "stop": y} for x, y in zip(a.tolist(), b.tolist())], None if digests_only else kept, hashlib.sha256(kept).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_removed", "removed", "kept", "kept_sha256"])
             yield pd.concat([pdf[["id", "t"]].reset_index(drop=True), out], axis=1)
 
+    texts = passing(docs.where("id is not null"), ranges.select(F.col("doc").alias("id"), "t"), ["id", "t"], "asked").where("asked").select("id", "t", "text")
     wanted = texts.join(ranges, (texts["id"] == ranges["doc"]) & (texts["t"] == ranges["t"])).select(texts["id"], texts["t"], "text", "ranges").dropDuplicates(["id", "t"])
-    done = wanted.mapInPandas(cut, "id long, t long, n_removed long, removed array<struct<start:int,stop:int>>, kept binary, kept_sha256 string")
+    done = wanted.mapInPandas(cut, "id long, t int, n_removed long, removed array<struct<start:int,stop:int>>, kept binary, kept_sha256 string")
     out = about.join(done, ["id", "t"], "left")
     copy = F.col("copy")
     removed = F.when(copy, F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))).otherwise(F.coalesce("removed", F.expr("cast(array() as array<struct<start:int,stop:int>>)")))
@@ -391,6 +516,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_from: in
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.size(removed).cast("long").alias("n_spans"),
         removed.alias("removed"),
-        F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        F.when(copy & F.lit(not digests_only), F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
         F.when(copy, nothing).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
