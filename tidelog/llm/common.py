@@ -47,6 +47,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows up to which small() broadcasts a table of ids and hashes, 100 bytes each at most.
+SMALL_ROWS = 300_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A materialized table of ids and hashes, to be broadcast if its rows are few; else joins shuffle."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for df in tables:
