@@ -18,8 +18,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,8 @@ ASCII_WORDS = re.compile("[a-z]+")
 WORDS_KEPT = 50_000
 #: Words that a task of the fit counts before it sends their numbers on.
 COUNTED_AT_ONCE = 200_000
+#: Words whose n-grams the driver holds at once.
+WORDS_AT_ONCE = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,12 +77,16 @@ class Letters:
 class Table:
     """Log frequencies by hash: a row for each key, a column for each language."""
 
-    def __init__(self, hashes: np.ndarray, language: np.ndarray, count: np.ndarray, languages: int):
-        self.keys, at = np.unique(hashes, return_inverse=True)
-        sums = np.zeros((len(self.keys), languages))
-        np.add.at(sums, (at, language), count)
-        total = sums.sum(axis=0) + (sums > 0).sum(axis=0) + 1
-        self.logs = np.log((sums + 0.5) / total).astype(np.float32)
+    def __init__(self, parts: list[tuple[int, np.ndarray, np.ndarray]], languages: int):
+        """parts: (language, hashes without repeats, counts)."""
+        self.keys = np.unique(np.concatenate([h for _, h, _ in parts])) if parts else np.zeros(0, np.uint64)
+        sums = np.zeros((len(self.keys), languages), np.float32)
+        for language, h, count in parts:
+            sums[np.searchsorted(self.keys, h), language] += count
+        total = sums.sum(axis=0, dtype=float) + (sums > 0).sum(axis=0) + 1
+        sums += 0.5
+        sums /= total
+        self.logs = np.log(sums, out=sums)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The row of each hash, -1 for none."""
@@ -90,21 +96,30 @@ class Table:
         return np.where(self.keys[at] == hashes, at, -1)
 
 
+def _summed(hashes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(hashes, return_inverse=True)
+    return keys, np.bincount(at, weights=count, minlength=len(keys))
+
+
 class Backoff:
-    def __init__(self, counts: pd.DataFrame, shares: dict[str, int]):
+    def __init__(self, counts: pa.Table, shares: dict[str, int]):
         """counts: rows (lang, word, n); shares: language to documents."""
-        self.languages = sorted(set(counts["lang"]) & set(shares))
+        self.languages = sorted(set(pc.unique(counts["lang"]).to_pylist()) & set(shares))
         k = len(self.languages)
         total = sum(shares[x] for x in self.languages)
         self.prior = np.log(np.array([shares[x] / total for x in self.languages])) if k else np.zeros(0)
-        letters = Letters(counts["word"].tolist())
-        language = np.searchsorted(self.languages, counts["lang"].to_numpy(dtype=str)) if k else np.zeros(0, np.int64)
-        n = counts["n"].to_numpy(dtype=float)
-        self.known = Table(letters.whole(), language, n, k)
-        self.grams = {}
-        for size in range(1, LONGEST + 1):
-            word, h = letters.grams(size)
-            self.grams[size] = Table(h, language[word], n[word], k)
+        parts: list[list] = [[] for _ in range(LONGEST + 1)]  # whole words, then n-grams
+        for language, name in enumerate(self.languages):
+            own = counts.filter(pc.equal(counts["lang"], name))
+            for at in range(0, own.num_rows, WORDS_AT_ONCE):
+                some = own.slice(at, WORDS_AT_ONCE)
+                letters, n = Letters(some["word"].to_pylist()), some["n"].to_numpy().astype(float)
+                parts[0].append((language, *_summed(letters.whole(), n)))
+                for size in range(1, LONGEST + 1):
+                    word, h = letters.grams(size)
+                    parts[size].append((language, *_summed(h, n[word])))
+        self.known = Table(parts[0], k)
+        self.grams = {size: Table(parts[size], k) for size in range(1, LONGEST + 1)}
         self.index: dict[str, int] = {}
         self.rows = np.zeros((0, k))
 
@@ -159,9 +174,8 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: st
     """Learn the tables; rows without text or language teach nothing, repeated rows teach as often as they come. Only these three columns are read."""
     rows = labelled.select(F.col(text).alias("text"), F.col(language).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("h")).where("text is not null and lang is not null")
     shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    none = pd.DataFrame({"lang": [], "word": [], "n": []}, dtype=object)
     if not shares:
-        return Backoff(none, {})
+        return Backoff(pa.table({"lang": pa.array([], pa.string()), "word": pa.array([], pa.string()), "n": pa.array([], pa.int64())}), {})
     span = 1 << 30
     limit = F.create_map(*[F.lit(x) for lang, n in shares.items() for x in (lang, min(span, span * DOCS_PER_LANGUAGE // n))])
     sample = rows.where(F.pmod("h", F.lit(span)) < limit[F.col("lang")]).select("lang", "text")
@@ -182,7 +196,7 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: st
         yield flush()
 
     counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return Backoff(counted.toPandas().sort_values(["lang", "word"]), shares)  # the words of a bounded number of documents
+    return Backoff(counted.toArrow(), shares)  # the words of a bounded number of documents
 
 
 def identify(df: DataFrame, model: Backoff, column: str = "text") -> DataFrame:
