@@ -41,7 +41,7 @@ CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 UNICODE_WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 ASCII_WORDS = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+")
 #: Entries that a worker keeps before it starts anew, and the longest word kept.
-WORDS_KEPT, LONGEST_KEPT, ARCS_KEPT = 100_000, 32, 300_000
+WORDS_KEPT, LONGEST_KEPT, ARCS_KEPT = 300_000, 64, 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -63,15 +63,15 @@ class MergeAutomaton:
         self.unused: set[int] = set()
         for k, (a, b) in enumerate(merges, 1):
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
-        self.inner: dict[str, int] = {}  # labels inside a word, and those that end one, by their letters
+        self.inner: dict[str, int] = {}  # endings of labels that stand inside a word, and of those that end one; -1 where no label is so short
         self.final: dict[str, int] = {}
         for label, i in vocab.items():
             if i not in self.unused:
-                if label.endswith(END) and len(label) > len(END):
-                    self.final[label[: -len(END)]] = i
-                else:
-                    self.inner[label] = i
-        self.longest = max(map(len, [*self.inner, *self.final]), default=0)
+                ends = label.endswith(END) and len(label) > len(END)
+                spelt, known = (label[: -len(END)], self.final) if ends else (label, self.inner)
+                for k in range(1, len(spelt)):
+                    known.setdefault(spelt[k:], -1)
+                known[spelt] = i
         self.table: dict[int, bool] = {}
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
@@ -110,11 +110,15 @@ class MergeAutomaton:
         n, size, table = len(word), self.size, self.table
         state, begin = [-1] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            labels = self.final if end == n else self.inner
-            for start in range(max(0, end - self.longest), end):
-                label = labels.get(word[start:end])
+            endings = (self.final if end == n else self.inner).get
+            found = []
+            for start in range(end - 1, -1, -1):
+                label = endings(word[start:end])
                 if label is None:
-                    continue
+                    break
+                if label >= 0:
+                    found.append((label, start))
+            for label, start in reversed(found):  # one fits at most
                 last = state[start]
                 if start:
                     if last < 0:
