@@ -492,6 +492,30 @@ def test_suffixes_odd(odd, empty):
     assert len(got) == len(ODD) and all(r.n_removed == 0 for r in got) and suffixes.dedup(empty).count() == 0
 
 
+def test_suffixes_exchange():
+    """What is sent for a context is less than half its text, however many partitions there are, and the filter grows with the text."""
+    rng = random.Random(17)
+    lexicon = [w for k in range(8) for w in words(rng, 50).split()]
+    text = " ".join(rng.choice(lexicon) for _ in range(20_000))
+    data, at, size = np.frombuffer(text.encode(), np.uint8), np.arange(0, 80_000, 16), np.full(5_000, 66)
+    key = np.sort(np.array([rng.getrandbits(64) for _ in at], np.uint64))
+    sent = []
+    for buckets in (24, 1_000):
+        held = suffixes.Held(buckets)
+        held.add(key, key, np.arange(len(at)), np.zeros(len(at), np.int32), at, at, size, np.zeros(len(at), bool))
+        held.close(data)
+        blobs = [r for batch in held.merged() for r in batch.to_pylist() if r["kind"] == suffixes.CONTEXT]
+        sent.append(sum(len(r["blob"]) for r in blobs) / len(at))
+        got = [suffixes.Rows.unpack(r["rows"], r["size"], r["blob"]) for r in blobs]
+        assert all((np.diff(x.key.astype(np.int64)) >= 0).all() for x in got)
+        parts = [y for x in got for y in x.slices()]
+        whole = suffixes.Rows.together(parts)
+        assert sorted(zip(whole.doc.tolist(), whole.start.tolist())) == list(zip(range(len(at)), at.tolist()))
+        assert whole.data.tobytes() == b"".join(data[a : a + 66].tobytes() for a in whole.start.tolist())
+    assert max(sent) < 66 / 2
+    assert suffixes.filter_bits(0) == 26 and suffixes.filter_bits(10**9) == 28 and suffixes.filter_bits(10**12) == suffixes.FILTER_MOST
+
+
 def test_deep_shallow():
     rng = random.Random(11)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 40))) for _ in range(400)] + [b"a" * 30] * 5

@@ -1,7 +1,7 @@
-"""A filter of fingerprints that come more than once, of a size that does not depend on the input.
+"""A filter of fingerprints that come more than once, of a size that the caller bounds.
 
 Tasks send their fingerprints shortened to 5 bytes, sorted by buckets of the top bits. A bucket's task counts them and sets a bit for each
-repeated one, in the bucket's own part of a Bloom filter of 2**FILTER_BITS bits (8 MB). The filter lets every repeated
+repeated one, in the bucket's own part of a Bloom filter of 2**FILTER_BITS bits (8 MB), or of as many as the caller asks for. The filter lets every repeated
 fingerprint through; others that it lets through cost work, never results, so exact steps must follow.
 """
 
@@ -29,7 +29,7 @@ def shortened(fp: np.ndarray, bits: int) -> np.ndarray:
 
 
 def passes(words: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
-    rest = FILTER_BITS - bits
+    rest = len(words).bit_length() + 5 - bits  # there are 2**(rest + bits) bits
     spot = ((fp >> np.uint64(64 - bits) << np.uint64(rest)) | ((fp & _LOW) >> np.uint64(LOW_BITS - rest))).astype(np.int64)
     return (words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0
 
@@ -43,7 +43,7 @@ def _twice(fp: np.ndarray, beside: np.ndarray) -> np.ndarray:
     return fp[~third]
 
 
-def repeated_filter(docs: DataFrame, fingerprints: Callable[[pa.RecordBatch, set], np.ndarray], parts: int, hot_from: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_filter(docs: DataFrame, fingerprints: Callable[[pa.RecordBatch, set], np.ndarray], parts: int, hot_from: int, filter_bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
     """The filter's words, and the shortened fingerprints seen hot_from times or more (the commonest HOT_MOST, about).
 
     fingerprints gets a piece of docs and a set that lives as long as the task, and gives 64-bit numbers; or a pair of arrays, numbers and
@@ -85,7 +85,7 @@ def repeated_filter(docs: DataFrame, fingerprints: Callable[[pa.RecordBatch, set
             whole = np.zeros((len(raw), 8), np.uint8)
             whole[:, :5] = raw
             low, count = np.unique(whole.view("<u8").ravel().astype(np.uint64), return_counts=True)
-            rest = FILTER_BITS - bits
+            rest = filter_bits - bits
             words = np.zeros(1 << (rest - 6), np.uint64)
             at = (low[count > 1] >> np.uint64(LOW_BITS - rest)).astype(np.int64)
             np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
@@ -94,8 +94,8 @@ def repeated_filter(docs: DataFrame, fingerprints: Callable[[pa.RecordBatch, set
             yield pa.record_batch([pa.array([b], pa.int32()), pa.array([words.tobytes()], pa.binary()), pa.array([hot.tobytes()], pa.binary())], names=["bucket", "words", "hot"])
 
     sent = docs.mapInArrow(send, "bucket int, blob binary").repartition(max(parts, 2), "bucket")
-    found = sent.mapInArrow(meet, "bucket int, words binary, hot binary").collect()  # 2**FILTER_BITS bits and HOT_MOST numbers at most
-    words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    found = sent.mapInArrow(meet, "bucket int, words binary, hot binary").collect()  # 2**filter_bits bits and HOT_MOST numbers at most
+    words = np.zeros(1 << (filter_bits - 6), np.uint64)
     span = len(words) >> bits
     for r in found:
         words[r["bucket"] * span : (r["bucket"] + 1) * span] = np.frombuffer(r["words"], np.uint64)

@@ -3,20 +3,20 @@
 Sorting every suffix would move many times the input. Only suffixes that can have an equal are sorted:
 
 1. Every LENGTH-byte string has one anchor, the least-hashed K bytes in it; equal strings have equal anchors in the same
-   place. Anchors' fingerprints (5 bytes) are exchanged and those that come once fall out through a Bloom filter of
-   fixed size; the filter only saves work.
+   place. Anchors' fingerprints (5 bytes) are exchanged and those that come once fall out through a Bloom filter,
+   which grows with the text up to a bound; the filter only saves work.
 2. An anchor that is left goes, with the text around it that its strings cover, to the task of its fingerprint.
 3. There the texts are put in order by deep-shallow sorting: multikey sorting on the first SHALLOW bytes, then a
    blind trie for each group that is still tied. Equal texts meet in one leaf, whose smallest id keeps them. Where
    different texts share an anchor, their LENGTH-byte suffixes are sorted in the same way.
 
-A task first meets its own equal texts, byte by byte, and sends the one of smallest id. Fingerprints of many different texts (hot ones) send
-each LENGTH-byte suffix under its own hash instead, so that no task gets a hot group whole. Copies of a whole document are found by their hash; a task
+A task first meets its own equal texts, byte by byte, and sends the one of smallest id. What is left under fingerprints of many different texts
+(hot ones) is sent as LENGTH-byte suffixes, each under its own hash, so that no task gets a hot group whole. Copies of a whole document are found by their hash; a task
 scans one again only if its id is smaller than those it has had, and copies that a filter knows are not scanned at all; the copy of
 smallest id, which keeps the text, is always scanned.
 
 Null texts are empty; texts shorter than LENGTH lose nothing; a row with a null id neither loses bytes nor takes any; rows that share an
-id are no smaller than each other, and are told apart by 32 bits of their texts' hashes.
+id are no smaller than each other, and are told apart by 32 bits of their texts' hashes (0 for ids that come once).
 """
 
 from __future__ import annotations
@@ -31,14 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK, materialize, mix, passing, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
-from .sketch import bucket_bits, passes, repeated_filter, shortened
+from .sketch import FILTER_BITS, bucket_bits, passes, repeated_filter, shortened
 
 LENGTH, K, SHALLOW = 50, 20, 16
 #: Bytes of the longest context: LENGTH - K on either side of an anchor.
 WIDTH = 2 * LENGTH - K
 HOT = 5_000
-#: Buckets for each partition of the exchange; a task holds one bucket at a time.
-PER_PART = 16
+#: Blobs for each partition of the exchange and each merge(). They get smaller with every partition and compress worse, so that there are few; a
+#: task holds one bucket at a time, and sorts it in SLICES slices of its keys.
+PER_PART, SLICES = 2, 16
+#: zstd's level for blobs of a few kB.
+LEVEL = 6
+#: The filter of repeated anchors has 2**FILTER_MOST bits at most (64 MB); beyond some 2 GB of text it lets more through than it need.
+FILTER_MOST = 29
 #: Suffixes of whole groups that are sorted at once.
 SUFFIXES_AT_ONCE = 100_000
 #: A task meets its own equal contexts in so many bytes of text, or so many contexts, at once.
@@ -213,40 +218,62 @@ def _fingerprints(piece: pa.RecordBatch, seen: set[bytes]) -> tuple[np.ndarray,
 SENT = "bucket int, kind byte, rows int, size long, blob binary"
 ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("rows", pa.int32()), ("size", pa.int64()), ("blob", pa.binary())])
 CONTEXT, WINDOW, DONE = 0, 1, 2
-_LOW = np.uint64((1 << 40) - 1)
+_HALF = np.uint64(32)
 
 
 class Rows:
     """Strings by key and document: a text of `size` bytes (one after the other in `data`), and the `count` places `start` where the document has it."""
 
-    #: Kinds of the columns in a blob; keys are shortened to 5 bytes, beside the bucket.
-    KINDS = (("key", "<u8"), ("doc", "<i8"), ("t", "<i4"), ("size", "u1"), ("count", "<u4"))
+    #: Kinds of the columns in a blob; keys are shortened to 4 bytes, beside the bucket.
+    KINDS = (("key", "<u4"), ("doc", "<i8"), ("t", "<i4"), ("size", "u1"), ("count", "<u4"))
 
     def __init__(self, key, doc, t, size, count, start, data):
         self.key, self.doc, self.t, self.size, self.count, self.start, self.data = key, doc, t, size, count, start, data
 
     def pack(self) -> tuple[int, bytes]:
-        five = np.ascontiguousarray((self.key & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-        rest = [getattr(self, name).astype(kind).tobytes() for name, kind in self.KINDS[1:]]
-        raw = b"".join([five.tobytes(), *rest, self.start.astype("<i4").tobytes(), self.data.tobytes()])
-        return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+        """Bytes of the numbers, and a blob: the numbers' bytes, first ones first, with sorted keys as differences; then the text, which compresses better alone."""
+        columns = [np.diff(self.key.astype(np.uint32), prepend=np.uint32(0)), *(getattr(self, name).astype(kind) for name, kind in self.KINDS[1:]), self.start.astype("<i4")]
+        planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+        codec, text = pa.Codec("zstd", LEVEL), self.data.tobytes()
+        numbers = codec.compress(planes, asbytes=True)
+        return len(planes), len(numbers).to_bytes(4, "little") + numbers + (codec.compress(text, asbytes=True) if text else b"")
 
     @classmethod
     def unpack(cls, n: int, size: int, blob: bytes) -> Rows:
-        raw, at, found = np.frombuffer(pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True), np.uint8), 5 * n, []
-        key = np.zeros((n, 8), np.uint8)
-        key[:, :5] = raw[:at].reshape(-1, 5)
-        for _, kind in cls.KINDS[1:]:
-            width = np.dtype(kind).itemsize * n
-            found.append(raw[at : at + width].copy().view(kind))
-            at += width
-        places = 4 * int(found[3].sum())
-        return cls(key.view("<u8").ravel(), found[0].astype(np.int64), found[1], found[2].astype(np.int64), found[3].astype(np.int64), raw[at : at + places].copy().view("<i4").astype(np.int64), raw[at + places :])
-
-
-def _packed(bits: int, kind: int, rows: Rows, at: np.ndarray | None, data: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        codec, cut = pa.Codec("zstd"), 4 + int.from_bytes(blob[:4], "little")
+        raw, at, found = np.frombuffer(codec.decompress(blob[4:cut], size, asbytes=True), np.uint8), 0, []
+
+        def column(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            width = np.dtype(kind).itemsize
+            at += width * n
+            return np.ascontiguousarray(raw[at - width * n : at].reshape(width, n).T).view(kind).ravel()
+
+        found = [column(kind, n) for _, kind in cls.KINDS]
+        start = column("<i4", int(found[4].sum()))
+        text = np.frombuffer(codec.decompress(blob[cut:], int(found[3].sum(dtype=np.int64)), asbytes=True), np.uint8) if len(blob) > cut else np.zeros(0, np.uint8)
+        return cls(np.cumsum(found[0], dtype=np.uint32), *found[1:], start, text)
+
+    def slices(self) -> list[Rows]:
+        """SLICES parts by key; keys must be sorted."""
+        edges = [0, *np.searchsorted(self.key, (np.arange(1, SLICES, dtype=np.uint64) << _HALF) // np.uint64(SLICES)).tolist(), len(self.key)]
+        places, text = np.r_[0, np.cumsum(self.count, dtype=np.int64)], np.r_[0, np.cumsum(self.size, dtype=np.int64)]
+        if not len(self.data):
+            text[:] = 0
+        return [Rows(*(c[x:y] for c in (self.key, self.doc, self.t, self.size, self.count)), self.start[places[x] : places[y]], self.data[text[x] : text[y]]) for x, y in zip(edges, edges[1:])]
+
+    @classmethod
+    def together(cls, parts: list[Rows]) -> Rows:
+        key, doc, t, size, count, start, data = (np.concatenate([getattr(p, n) for p in parts]) for n in ("key", "doc", "t", "size", "count", "start", "data"))
+        return cls(key, doc, t, size.astype(np.int64), count.astype(np.int64), start.astype(np.int64), data)
+
+
+def _packed(buckets: int, kind: int, rows: Rows, at: np.ndarray | None, data: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key as one blob for each bucket; at: where a row's text begins in data."""
-    edges = np.searchsorted(rows.key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    many, low = np.uint64(buckets), np.uint64(0xFFFFFFFF)
+    spread = (rows.key >> _HALF) * many + ((rows.key & low) * many >> _HALF)  # the bucket, and 32 bits of the key in it; in order, as keys are
+    edges = np.searchsorted(spread >> _HALF, np.arange(buckets + 1, dtype=np.uint64))
+    key = (spread & low).astype(np.uint32)
     places = np.r_[0, np.cumsum(rows.count)]
     out = []
     for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -254,7 +281,7 @@ def _packed(bits: int, kind: int, rows: Rows, at: np.ndarray | None, data: np.nd
         size = rows.size[x:y].astype(np.int64)
         ends = np.cumsum(size)
         text = data[np.repeat(at[x:y] - (ends - size), size) + np.arange(int(ends[-1]))] if data is not None else np.zeros(0, np.uint8)
-        part = Rows(rows.key[x:y], rows.doc[x:y], rows.t[x:y], rows.size[x:y], rows.count[x:y], rows.start[places[x] : places[y]], text)
+        part = Rows(key[x:y], rows.doc[x:y], rows.t[x:y], rows.size[x:y], rows.count[x:y], rows.start[places[x] : places[y]], text)
         out.append((b, kind, y - x, *part.pack()))
         if len(out) >= 64:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), ROWS)], schema=ROWS)
@@ -264,18 +291,21 @@ def _packed(bits: int, kind: int, rows: Rows, at: np.ndarray | None, data: np.nd
 
 
 class Held:
-    """Contexts of a task: equal ones under one key are met here already, so that one of each, of the smallest document, is sent with its bytes."""
+    """Contexts of a task: equal ones under one key are met here already, so that one of each, of the smallest document, is sent with its bytes.
 
-    def __init__(self, bits: int):
-        self.bits = bits
+    What is left of the hot ones is cut into windows, and those are met in the same way.
+    """
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
         self.text: list[np.ndarray] = []
         self.size = self.rows = 0
-        self.parts: dict[int, list[tuple[np.ndarray, ...]]] = {CONTEXT: [], WINDOW: []}
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, kind: int, *columns: np.ndarray) -> None:
-        """columns: key, hash of the bytes, document, its text's hash, start in the document, start in the bytes that close() gets, length."""
-        key, text, doc, t, start, at, size = columns
-        self.parts[kind].append((key, text, doc, t, *(x.astype(np.int32) for x in (start, at + self.size, size))))
+    def add(self, *columns: np.ndarray) -> None:
+        """columns: key, hash of the bytes, document, its text's hash, start in the document, start in the bytes that close() gets, length, whether the key is hot."""
+        key, text, doc, t, start, at, size, hot = columns
+        self.parts.append((key, text, doc, t, *(x.astype(np.int32) for x in (start, at + self.size, size)), hot))
         self.rows += len(key)
 
     def close(self, data: np.ndarray) -> None:
@@ -284,35 +314,66 @@ class Held:
         self.size += len(data)
 
     def merged(self) -> Iterator[pa.RecordBatch]:
-        data = np.concatenate([*self.text, np.zeros(WIDTH, np.uint8)])
-        done = []
-        for kind, parts in self.parts.items():
-            if not parts:
-                continue
-            key, text, doc, t, start, at, size = map(np.concatenate, zip(*parts))
-            parts.clear()
-            order = np.lexsort((start, t, doc, text, key))
-            key, text, doc, t, start, at, size = (x[order] for x in (key, text, doc, t, start, at, size))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            equal = np.zeros(len(key), bool)
-            equal[~new] = _equal(data, at[~new], size[~new], at[first[~new]], size[first[~new]])
-            late = equal & (doc > doc[first])
-            done.append((doc[late], t[late], start[late], start[late] + size[late]))
-            again = equal & (doc == doc[first]) & (t == t[first])  # the first's document has it here too
-            row = ~late & ~again
-            i, kept = np.flatnonzero(row), start[~late]
-            count = np.diff(np.r_[np.flatnonzero(row[~late]), len(kept)])
-            yield from _packed(self.bits, kind, Rows(key[i], doc[i], t[i], size[i], count, kept, None), at[i].astype(np.int64), data)
+        data, done = np.concatenate([*self.text, np.zeros(WIDTH, np.uint8)]), []
+        self.text.clear()
+        if self.parts:
+            columns = tuple(map(np.concatenate, zip(*self.parts)))
+            self.parts.clear()
+            hot = columns[-1]
+            for kind, pick in ((WINDOW, hot), (CONTEXT, ~hot)):
+                rows, at = _met(data, *(x[pick] for x in columns[:-1]), done)
+                if kind == CONTEXT:
+                    yield from _packed(self.buckets, kind, rows, at, data)
+                    continue
+                places = np.r_[0, np.cumsum(rows.count)]
+                part = places[:-1] // SENT_AT_ONCE
+                for i in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1) if len(at) else ():
+                    x, y = int(i[0]), int(i[-1]) + 1
+                    some = Rows(rows.key[x:y], rows.doc[x:y], rows.t[x:y], rows.size[x:y], rows.count[x:y], rows.start[places[x] : places[y]], None)
+                    yield from _packed(self.buckets, kind, *_met(data, *_windows(data, some, at[x:y]), done), data)
         if done:
             doc, t, start, stop = _joined(*map(np.concatenate, zip(*done)))
             key = mix(doc.astype(np.uint64))
             order = np.argsort(key)
             key, doc, t, start, stop = (x[order] for x in (key, doc, t, start, stop))
             both = np.stack([start, stop], axis=1).ravel()
-            yield from _packed(self.bits, DONE, Rows(key, doc, t, np.zeros(len(doc)), np.full(len(doc), 2), both, None), None, None)
-        self.__init__(self.bits)
+            yield from _packed(self.buckets, DONE, Rows(key, doc, t, np.zeros(len(doc)), np.full(len(doc), 2), both, None), None, None)
+        self.__init__(self.buckets)
+
+
+def _met(data: np.ndarray, key, text, doc, t, start, at, size, done: list) -> tuple[Rows, np.ndarray]:
+    """Of equal texts under one key, the smallest document's, sorted by key, and where they begin in data; done gets what the others lose."""
+    order = np.lexsort((start, t, doc, text, key))
+    key, text, doc, t, start, at, size = (x[order] for x in (key, text, doc, t, start, at, size))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    equal = np.zeros(len(key), bool)
+    equal[~new] = _equal(data, at[~new], size[~new], at[first[~new]], size[first[~new]])
+    late = equal & (doc > doc[first])
+    done.append((doc[late], t[late], start[late], start[late] + size[late]))
+    again = equal & (doc == doc[first]) & (t == t[first])  # the first's document has it here too
+    row = ~late & ~again
+    i, kept = np.flatnonzero(row), start[~late]
+    count = np.diff(np.r_[np.flatnonzero(row[~late]), len(kept)])
+    return Rows(key[i], doc[i], t[i], size[i], count, kept, None), at[i].astype(np.int64)
+
+
+def _windows(data: np.ndarray, rows: Rows, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The LENGTH-byte strings of rows' texts, at all their places, under their own hashes: columns for _met()."""
+    ups, downs = powers(WIDTH + 1)
+    codes, found = mix(np.arange(256, dtype=np.uint64) + np.uint64(1)), []
+    for k in range(0, len(at), SENT_AT_ONCE):
+        sums = np.zeros((len(at[k : k + SENT_AT_ONCE]), WIDTH + 1), np.uint64)
+        np.cumsum(codes[data[at[k : k + SENT_AT_ONCE, None] + np.arange(WIDTH)]] * ups[:WIDTH], axis=1, out=sums[:, 1:])
+        found.append(mix((sums[:, LENGTH:] - sums[:, :-LENGTH]) * downs[: WIDTH - LENGTH + 1] + np.uint64(LENGTH)))
+    hashes = np.concatenate(found)
+    of = np.repeat(np.arange(len(at)), rows.count)  # places
+    many = (rows.size - LENGTH + 1)[of].astype(np.int64)
+    shift = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    row = np.repeat(of, many)
+    text = hashes[row, shift]
+    return text, text, rows.doc[row], rows.t[row], (np.repeat(rows.start, many) + shift).astype(np.int32), (at[row] + shift).astype(np.int32), np.full(len(row), LENGTH, np.int32)
 
 
 def _equal(data: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -326,13 +387,13 @@ def _equal(data: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.
 
 def _candidates(docs: DataFrame, words: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
     """Rows (bucket, kind, rows, size, blob): what the documents hold under repeated fingerprints, packed by bucket; there are PER_PART buckets for each partition, about."""
-    bits, out_bits = bucket_bits(parts), max(1, (parts * PER_PART - 1).bit_length())
+    bits = bucket_bits(parts)
     shared = docs.sparkSession.sparkContext.broadcast((words, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hot = shared.value
         seen: dict[bytes, int] = {}
-        held = Held(out_bits)
+        held = Held(parts * PER_PART)
         for piece in text_chunks(batches):
             piece = _unseen(piece, seen)
             ids, ts = piece.column("id").to_numpy(), piece.column("t").to_numpy()
@@ -345,17 +406,8 @@ def _candidates(docs: DataFrame, words: np.ndarray, hot: np.ndarray, parts: int)
                 sums = prefix_hashes(data)
                 named = shortened(fp, bits)
                 is_hot = np.isin(named, hot) if len(hot) else np.zeros(len(fp), bool)
-                for kind in (CONTEXT, WINDOW):
-                    pick = is_hot if kind == WINDOW else ~is_hot
-                    if not pick.any():
-                        continue
-                    r, a, b = row[pick], first[pick], last[pick] + LENGTH
-                    if kind == WINDOW:
-                        many = (last - first + 1)[pick]
-                        a = np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                        r, b = np.repeat(r, many), a + LENGTH
-                    text = span_hashes(sums, a, b)
-                    held.add(kind, text if kind == WINDOW else fp[pick], text, ids[rows[r]], ts[rows[r]], a - offsets[r] + base[r], a, b - a)
+                a, b = first, last + LENGTH
+                held.add(fp, span_hashes(sums, a, b), ids[rows[row]], ts[rows[row]], a - offsets[row] + base[row], a, b - a, is_hot)
                 held.close(data)
                 if held.size >= TEXT_AT_ONCE or held.rows >= HELD_ROWS:
                     yield from held.merged()
@@ -365,7 +417,7 @@ def _candidates(docs: DataFrame, words: np.ndarray, hot: np.ndarray, parts: int)
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs sorted by bucket: ranges (doc, t, start, stop) that a smaller document has too."""
+    """Blobs sorted by bucket: documents (doc, t) and the ranges in them that a smaller document has too."""
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(batch.column(f.name).to_pylist() for f in ROWS)):
@@ -381,12 +433,34 @@ def _resolved(blobs: list[tuple]) -> pa.RecordBatch:
     none = np.zeros(0, np.int64)
     out = [(none, none, none, none)]
     for kind in (CONTEXT, WINDOW, DONE):
-        parts = [Rows.unpack(*x[2:]) for x in blobs if x[1] == kind]
-        if parts:
-            rows = Rows(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("key", "doc", "t", "size", "count", "start", "data")))
+        parts = [Rows.unpack(*x[2:]).slices() for x in blobs if x[1] == kind]
+        for rows in map(Rows.together, zip(*parts)):
             out += [(rows.doc, rows.t, rows.start[::2], rows.start[1::2])] if kind == DONE else _taken(rows, kind)
-    doc, t, start, stop = _joined(*(np.concatenate(x).astype(np.int64) for x in zip(*out)))
-    return pa.record_batch([pa.array(doc), pa.array(t.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["doc", "t", "start", "stop"])
+    return _by_document(*(np.concatenate(x).astype(np.int64) for x in zip(*out)))
+
+
+RANGES = "doc long, t int, ranges binary"
+
+
+def _by_document(doc, t, start, stop) -> pa.RecordBatch:
+    """A row (doc, t, ranges) for each document: starts and stops of its joined ranges by turns, as 4 bytes each."""
+    doc, t, start, stop = _joined(doc, t, start, stop)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (t[1:] != t[:-1])
+    first = np.flatnonzero(new)
+    ends = pa.py_buffer((8 * np.r_[first, len(doc)]).astype(np.int32).tobytes())
+    raw = pa.py_buffer(np.stack([start, stop], axis=1).astype("<i4").tobytes())
+    return pa.record_batch([pa.array(doc[first]), pa.array(t[first].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(first), [None, ends, raw])], names=["doc", "t", "ranges"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, t, a list of ranges): the lists' ranges joined."""
+    for batch in batches:
+        if batch.num_rows:
+            lists = batch.column("ranges")
+            lengths = [sum(map(len, x)) // 8 for x in lists.to_pylist()]
+            both = np.frombuffer(b"".join(lists.flatten().to_pylist()), "<i4").astype(np.int64).reshape(-1, 2)
+            yield _by_document(*(np.repeat(batch.column(c).to_numpy().astype(np.int64), lengths) for c in ("doc", "t")), both[:, 0], both[:, 1])
 
 
 def _taken(rows: Rows, kind: int) -> list[tuple[np.ndarray, ...]]:
@@ -457,13 +531,18 @@ def _joined(doc, t, start, stop):
     return doc[a], t[a], start[a], np.maximum.reduceat(stop, a)
 
 
-def repeated(docs: DataFrame, hot_from: int = HOT) -> DataFrame:
-    """Rows (doc, t, ranges) for docs (id, t, text), t a hash of the text; copies of whole texts inside one task are left to dedup()."""
+def filter_bits(n_bytes: int) -> int:
+    """Bits of the filter for so much text, as a power of two: about one in 180 bytes starts a repeated anchor, so that one bit in 30 to 60 is set until FILTER_MOST is reached."""
+    return min(max((n_bytes // 5).bit_length(), FILTER_BITS), FILTER_MOST)
+
+
+def repeated(docs: DataFrame, hot_from: int = HOT, n_bytes: int = 0) -> DataFrame:
+    """Rows (doc, t, ranges) for docs (id, t, text) of n_bytes together, t a hash of the text; copies of whole texts inside one task are left to dedup()."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words, hot = repeated_filter(docs.where("id is not null").select("text"), _fingerprints, parts, hot_from)
-    sent = _candidates(docs, words, hot, parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = sent.mapInArrow(_resolve, "doc long, t int, start int, stop int")
-    return found.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    words, hot = repeated_filter(docs.where("id is not null").select("text"), _fingerprints, parts, hot_from, filter_bits(n_bytes))
+    sent = _candidates(docs, words, hot, parts).repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
+    found = sent.mapInArrow(_resolve, RANGES)
+    return found.groupBy("doc", "t").agg(F.collect_list("ranges").alias("ranges")).mapInArrow(_gathered, RANGES)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_from: int = HOT, digests_only: bool = False) -> DataFrame:
@@ -473,7 +552,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_from: in
     digests_only. key must be a number.
     """
     docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumn("t", F.hash("text"))
+    again = materialize(docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id"), "again")
+    # unique ids need no hash beside them
+    docs = docs.withColumn("t", F.lit(0)) if again.isEmpty() else passing(docs, again, ["id"], "twice").select("id", "text", F.when(F.col("twice"), F.hash("text")).otherwise(0).alias("t"))
     about = docs.select("id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     origin = about.groupBy("sha").agg(F.min("id").alias("origin"), F.count("*").alias("n")).where("n > 1").select("sha", "origin")
     about = about.join(origin, "sha", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("origin"), F.lit(False)) & (F.col("n_bytes") >= LENGTH))
@@ -482,18 +563,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_from: in
     # copies go whole, and need not be scanned: what they hold, their origin has. A row is left out if it passes the filter of the copies
     # and not that of the other rows that pass it, so that no other row is ever left out.
     copies, others = about.where("copy"), about.where("not copy")
+    n_bytes = others.agg(F.sum("n_bytes")).first()[0] or 0
     mistaken = passing(others, copies, ["id", "t"], "maybe").where("maybe")
     flagged = passing(passing(docs, copies, ["id", "t"], "maybe"), mistaken, ["id", "t"], "mistaken")
-    ranges = materialize(repeated(flagged.where("id is not null and (not maybe or mistaken)").select("id", "t", "text"), hot_from), "ranges")
+    ranges = materialize(repeated(flagged.where("id is not null and (not maybe or mistaken)").select("id", "t", "text"), hot_from, n_bytes), "ranges")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for raw, ranges_ in zip(pdf["text"], pdf["ranges"]):
                 raw = raw.encode()
-                a, b = np.array([r["start"] for r in ranges_]), np.array([r["stop"] for r in ranges_])
-                zero = np.zeros(len(a), np.int64)
-                _, _, a, b = _joined(zero, zero, a, b)
+                a, b = np.frombuffer(ranges_, "<i4").reshape(-1, 2).T
                 kept, at = [], 0
                 for x, y in zip(a.tolist(), b.tolist()):
                     kept.append(raw[at:x])
