@@ -516,6 +516,13 @@ def test_suffixes_exchange():
     assert suffixes.filter_bits(0) == 26 and suffixes.filter_bits(10**9) == 28 and suffixes.filter_bits(10**12) == suffixes.FILTER_MOST
 
 
+def test_anchors_spread():
+    """Fingerprints are spread evenly over buckets, though they stand for least hashes."""
+    raw = np.frombuffer(random.Random(19).randbytes(100_000), np.uint8)
+    fp = suffixes.anchors(raw, np.array([0, len(raw)]))[0]
+    assert 0.4 < (fp >> np.uint64(63)).mean() < 0.6
+
+
 def test_deep_shallow():
     rng = random.Random(11)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 40))) for _ in range(400)] + [b"a" * 30] * 5

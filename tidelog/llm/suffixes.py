@@ -78,7 +78,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     new = np.ones(len(i), bool)
     new[1:] = (spot[1:] != spot[:-1]) | (i[1:] != i[:-1] + 1)
     a = np.flatnonzero(new)
-    return h[spot[a]], row[i[a]], i[a], i[np.r_[a[1:] - 1, len(i) - 1]]
+    # the least hashes crowd at the lower end of their range, and would fill few buckets and a small part of the filter
+    return mix(h[spot[a]]), row[i[a]], i[a], i[np.r_[a[1:] - 1, len(i) - 1]]
 
 
 def _segments(piece: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
