@@ -516,6 +516,18 @@ def test_suffixes_exchange():
     assert suffixes.filter_bits(0) == 26 and suffixes.filter_bits(10**9) == 28 and suffixes.filter_bits(10**12) == suffixes.FILTER_MOST
 
 
+def test_only_passing(spark):
+    """Only the rows that pass a filter come out of its join, and those are passing()'s."""
+    from tidelog.llm.common import only_passing, passing
+
+    rows, keys = spark.range(20_000), spark.range(0, 300, 3)
+    got = only_passing(rows, keys, ["id"])
+    assert got.columns == ["id"] and "LeftOuter" not in got._jdf.queryExecution().toString()
+    found = sorted(r.id for r in got.collect())
+    assert found == sorted(r.id for r in passing(rows, keys, ["id"], "maybe").where("maybe").collect())
+    assert set(range(0, 300, 3)) <= set(found) and len(found) < 200
+
+
 def test_anchors_spread():
     """Fingerprints are spread evenly over buckets, though they stand for least hashes."""
     raw = np.frombuffer(random.Random(19).randbytes(100_000), np.uint8)

@@ -170,14 +170,24 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 FILTER_BITS = 23
 
 
-def passing(df: DataFrame, keys: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """df with a boolean column: whether the row's columns pass a Bloom filter of the same columns of keys. False means that keys does not have them.
-
-    The filter's words of 64 bits are a table of 131,072 rows at most, which is broadcast.
-    """
+def _filter(df: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df with the place of the row's columns in a Bloom filter of keys, and the filter's words of 64 bits: 131,072 rows at most."""
     spot = F.pmod(F.xxhash64(*columns), F.lit(1 << FILTER_BITS))
     word, bit = F.shiftright(spot, 6).cast("int"), F.pmod(spot, F.lit(64)).cast("int")
     one = keys.select(word.alias("__word"), bit.alias("__bit"))
     words = one.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
-    met = df.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(words), "__word", "left")
+    return df.withColumn("__word", word).withColumn("__bit", bit), F.broadcast(words)
+
+
+def passing(df: DataFrame, keys: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """df with a boolean column: whether the row's columns pass a Bloom filter of the same columns of keys. False means that keys does not have them."""
+    placed, words = _filter(df, keys, columns)
+    met = placed.join(words, "__word", "left")
     return met.withColumn(name, F.coalesce(F.expr("shiftright(__bits, __bit) & 1L") == 1, F.lit(False))).drop("__word", "__bit", "__bits")
+
+
+def only_passing(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of df of which passing() holds; the join makes no others."""
+    placed, words = _filter(df, keys, columns)
+    words = words.withColumnRenamed("__word", "__other")
+    return placed.join(words, F.expr("__word = __other and (shiftright(__bits, __bit) & 1L) = 1")).drop("__word", "__bit", "__bits", "__other")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix, passing, small, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
+from .common import discard, materialize, mix, only_passing, passing, small, powers, prefix_hashes, span_hashes, text_bytes, text_chunks
 from .sketch import bucket_bits, passes, repeated_filter
 
 #: Tokens are counted COUNTED_AT_ONCE at a time; those of COMMON documents or more there are summed up, and the commonest HEAVY
@@ -318,8 +318,8 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: st
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     scanned = materialize(_scan(docs, width), "sets")
     classes = scanned.where("kind = 0").select(F.col("a").alias("id"), "s", "n")
-    top = scanned.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HEAVY).collect()
-    heavy = np.array([r["a"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in top], dtype=np.int64)
+    top = scanned.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HEAVY).toArrow()  # rows of Python objects would be many times as large
+    heavy = top.column("a").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(heavy[0])
 
     # one document stands for its class. A row is left out if it passes the filter of the other documents and not that of the rows that pass it by mistake
@@ -383,7 +383,7 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: st
     named = materialize(_rooted(led, roots).drop("alone"), "named")
     differs = [F.min(c) != F.max(c) for c in ("leader", "root")]
     mixed = named.groupBy("token").agg((differs[0] & differs[1]).alias("mixed")).where("mixed").select("token")
-    named = passing(named, mixed, ["token"], "mixed").where("mixed").drop("mixed")
+    named = only_passing(named, mixed, ["token"])
     named = materialize(named.withColumn("window", F.explode(F.array(F.col("band"), F.col("band") + 1))), "mixed")
     apart = (F.col("x_leader") < F.col("y_leader")) & (F.col("x_root") != F.col("y_root")) & (F.col("window") == F.greatest("x_band", "y_band"))
     rest = _across(named, ["token", "window"], ["band", "leader", "root"], apart, fits)
