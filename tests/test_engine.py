@@ -166,6 +166,41 @@ def test_playback(spark, tmp_path):
         assert [bytes(r.payload) for r in ds.idx["ip"][ip]] == [p for k, p in enumerate(payloads) if f"10.0.0.{k % 5}" == ip]
 
 
+def test_playback_in_pieces(spark, tmp_path):
+    from tidelog.sources.playback import PIECE, parse_pieces, unpacked
+
+    payloads = [f"p{k}".encode() * (k % 9) for k in range(30)]
+    payloads[3], payloads[7], payloads[11], payloads[29] = b"a\nb\n", b"x" + make([b"in", b"in"]) + b"y", bytes(range(256)), b"\n\n"
+    cap = make(payloads)
+    broken = cap.replace(b"/A/0/", b"/A/?/", 1)
+    for data in (cap, cap[:-1], cap[:-2], cap[:-60], cap + START[:5], cap + b"\n", b"", broken, cap + b"*M*garbage"):
+        for n in (1, 2, 7, 64, 1000, len(cap) + 99):
+            cut = lambda b: [b[i : i + n] for i in range(0, len(b), n)]  # noqa: B023, E731
+            for pieces in (cut(data), [*cut(data), b""], unpacked(cut(gzip.compress(data[:900]) + gzip.compress(data[900:])))):
+                got, want = [], []
+                for out, rows in ((got, parse_pieces(pieces, "x")), (want, parse(data, "x"))):
+                    try:
+                        out.extend(rows)
+                    except BadRecord as error:
+                        out.append(str(error))
+                assert got == want, (len(data), n)
+
+    drawn = []
+    rows = parse_pieces((drawn.append(k) or cap for k in range(1000)), "x")
+    assert [next(rows)[10] for _ in range(61)] == [*payloads, *payloads, payloads[0]] and len(drawn) == 3  # not all pieces first
+
+    payloads = [b"%d" % k * 9 for k in range(60_000)] + [b"\n" * (3 * PIECE), b"last"]
+    large = b"".join(make([p]) for p in payloads)
+    (tmp_path / "a.pb").write_bytes(large)
+    (tmp_path / "b.pb.gz").write_bytes(gzip.compress(large))
+    (tmp_path / "c.pb").write_bytes(cap)
+    (tmp_path / "d.pb").write_bytes(b"")
+    got = read_playback_files(spark, f"file://{tmp_path}").orderBy("path", "offset").toLocalIterator()
+    want = [row for name, data in (("a.pb", large), ("b.pb.gz", large), ("c.pb", cap)) for row in parse(data, f"file:{tmp_path}/{name}")]
+    assert all(tuple(bytes(x) if isinstance(x, bytearray) else x for x in row) == next_row for row, next_row in zip(got, want, strict=True))
+    assert read_playback(spark, str(tmp_path / "b.pb.gz")).count() == len(payloads)
+
+
 # --- decoding ----------------------------------------------------------------------------------------------------
 
 

@@ -116,7 +116,8 @@ def src_playback(spark, d):
     # the payload carries the id in front; records are separated by the writer's line feeds
     payload = F.concat_ws(":", F.col("event_id").cast("string"), F.col("event_type"))
     one = record(payload, F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string")), F.lit("9000"), F.date_format("ts", "HH:mm:ss.SSS"), F.unix_micros(F.col("ts").cast("timestamp")).cast("string"))
-    rows.select(F.decode(one, "UTF-8").alias("value")).write.text(path)
+    # captures of some 20 MB, however large the tasks: each is read whole
+    rows.select(F.decode(one, "UTF-8").alias("value")).write.option("maxRecordsPerFile", 200_000).text(path)
     got = read_playback_files(spark, path)
     text = F.decode("payload", "UTF-8")
     kind = F.split_part(text, F.lit(":"), F.lit(2))

@@ -3,7 +3,7 @@
 A record is a text header with fields between slashes, then the payload and a line feed:
 `*M*E*T*A*S*T*A*R*T*/hint/length/ip/port/HH:MM:SS.mmm/epoch.micros//*M*E*T*A*E*N*D*`. Readers go on by the length in the header, so that payloads
 may hold line feeds or the marker. Large plain files are split: a split begins at the first marker in it from which two
-records in a row (or the file's end) can be read. Packed files (.gz) are one split.
+records in a row (or the file's end) can be read. Packed files (.gz) are one split. Whole files pass a worker in pieces.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ import gzip
 import io
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import partial
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ HEADER = re.compile(re.escape(START) + rb"/([^/]*)/(\d+)/([^/]*)/([^/]*)/([^/]*)
 SCHEMA = "path string, offset long, hint string, ip string, port string, time_str string, time string, header_size int, payload_size int, msg binary, payload binary"
 SPLIT = 64 << 20
 LONGEST_HEADER = 512
+#: Bytes of a file that a worker takes at once, and about those of the records that it gives back at once.
+PIECE = 1 << 20
 
 
 class BadRecord(ValueError):
@@ -55,6 +59,55 @@ def parse(data: bytes, path: str, offset: int = 0, strict: bool = True) -> Itera
         at = end + (data[end : end + 1] == b"\n")
 
 
+def parse_pieces(pieces: Iterable[bytes], path: str) -> Iterator[tuple]:
+    """The records that parse() finds in all pieces together; no more is held than the piece and the record at hand."""
+    held, base, need, ended = bytearray(), 0, 1, False
+    for piece in pieces:
+        held += piece
+        if ended and held:  # the line feed after a record that ended with its piece
+            skip = held.startswith(b"\n")
+            del held[:skip]
+            base, ended = base + skip, False
+        if len(held) < need:
+            continue
+        data, at = bytes(held), 0
+        for row in parse(data, path, base):
+            yield row
+            end = row[1] - base + len(row[9])
+            at, ended = end + (data[end : end + 1] == b"\n"), end == len(data)
+        held, base = bytearray(data[at:]), base + at
+        m = HEADER.match(held)
+        if not m and held.count(b"/") > 8:  # a header has 8: this one is broken, which ends the input
+            return
+        need = m.end() + int(m[2]) if m else len(held) + 1
+
+
+class _Pieces(io.RawIOBase):
+    """Pieces as a file to read."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.left = iter(pieces), memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.left:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.left = memoryview(piece)
+        n = min(len(out), len(self.left))
+        out[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
+def unpacked(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The content of a .gz file, in pieces as well."""
+    with gzip.open(io.BufferedReader(_Pieces(pieces))) as f:
+        yield from iter(partial(f.read, PIECE), b"")
+
+
 class _Part(InputPartition):
     def __init__(self, path: str, start: int, stop: int | None):
         self.path, self.start, self.stop = path, start, stop
@@ -84,7 +137,7 @@ class PlaybackReader(DataSourceReader):
             return
         if part.stop is None:
             with gzip.open(part.path, "rb") as f:
-                yield from parse(f.read(), part.path)
+                yield from parse_pieces(iter(partial(f.read, PIECE), b""), part.path)
             return
         size = os.path.getsize(part.path)
         with open(part.path, "rb") as f:
@@ -163,19 +216,38 @@ def read_playback(spark: SparkSession, path: str, split: int = SPLIT) -> DataFra
 
 
 def read_playback_files(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of up to 2 GB each in any store that Spark reads."""
+    """Captures of up to 2 GB each in any store that Spark reads. The JVM holds one file for each task, a Python worker a batch of pieces (see PIECE)."""
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                raw = gzip.decompress(content) if name.endswith(".gz") else bytes(content)
-                rows = list(parse(raw, name))
-                if rows:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+        pieces = ((name.as_py(), piece.as_py()) for batch in batches for name, piece in zip(batch["path"], batch["piece"]))
+        files = ((name, (piece for _, piece in group)) for name, group in groupby(pieces, lambda x: x[0]))
+        return _arrow_batches(row for name, file in files for row in parse_pieces(unpacked(file) if name.endswith(".gz") else file, name))
+
+    files = spark.read.format("binaryFile").load(path)
+    places = F.sequence(F.lit(0), F.expr(f"int((length - 1) div {PIECE})"))
+    pieces = files.select("path", "content", F.explode(places).alias("k")).select("path", F.substring("content", F.col("k") * PIECE + 1, F.lit(PIECE)).alias("piece"))
+    return pieces.mapInArrow(run, SCHEMA)
+
+
+def _arrow_batches(rows: Iterable[tuple]) -> Iterator:
+    """Rows of SCHEMA as Arrow batches of about PIECE bytes of messages and 10,000 rows at most."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[kind]) for n, kind in map(str.split, SCHEMA.split(", "))])
+
+    def batch(some):
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some), schema)], schema=schema)
+
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[9])
+        if size >= PIECE or len(some) == 10_000:
+            yield batch(some)
+            some, size = [], 0
+    if some:
+        yield batch(some)
 
 
 def record(payload: Column, ip: Column, port: Column, clock: Column, epoch: Column, hint: str = "A") -> Column:
